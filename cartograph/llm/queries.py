@@ -5,14 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .mixing import mix_counts
 from .near_dup import near_duplicates
+from .pieces import encode
 from .quality import fit_quality, score_quality
+from .token_counts import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_counts(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
@@ -28,5 +40,17 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_quality": op3_quality, "op8_near_dedup": op8_near_dedup}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode(_table(spark, sf_dir, "documents"), digests=True)
+    best = F.array_join(F.transform("best_scores", lambda x: F.format_string("%.4f", x)), ";")
+    return coded.select("doc_id", "n_pieces", "score", "ids_sha256", best.alias("best_scores"), "decoded_equal")
+
+
+QUERIES = {
+    "op1_mix": op1_mix,
+    "op2_token_counts": op2_token_counts,
+    "op3_quality": op3_quality,
+    "op8_near_dedup": op8_near_dedup,
+    "op10_sentencepiece": op10_sentencepiece,
+}
 SQL: dict[str, str] = {}
