@@ -9,6 +9,7 @@ from .mixing import mix_counts
 from .near_dup import near_duplicates
 from .pieces import encode
 from .quality import fit_quality, score_quality
+from .secret_scan import find_secrets, fit_secrets, spell
 from .token_counts import token_counts
 
 
@@ -36,6 +37,16 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_secrets(docs, fit_secrets(docs))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(spell(F.col("base_spans")), 256).alias("base_sha256"), spell(F.col("all_spans")).alias("spans"),
+    )
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +61,7 @@ QUERIES = {
     "op1_mix": op1_mix,
     "op2_token_counts": op2_token_counts,
     "op3_quality": op3_quality,
+    "op4_secrets": op4_secrets,
     "op8_near_dedup": op8_near_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
