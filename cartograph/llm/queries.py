@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .fingerprint import edit_fingerprints
 from .mixing import mix_counts
 from .near_dup import near_duplicates
 from .pieces import encode
@@ -47,6 +48,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
+    "op5_fingerprints": op5_fingerprints,
     "op8_near_dedup": op8_near_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
