@@ -9,9 +9,11 @@ from .fingerprint import edit_fingerprints
 from .mixing import mix_counts
 from .near_dup import near_duplicates
 from .pieces import encode
+from .pivot_index import near_vectors
 from .quality import fit_quality, score_quality
 from .secret_scan import find_secrets, fit_secrets, spell
 from .token_counts import token_counts
+from .url_filter import judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +54,21 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+#: The rules of the query, in the order given.
+URL_RULES = [
+    ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"),
+]
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "url_score")
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -68,6 +85,8 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
     "op5_fingerprints": op5_fingerprints,
+    "op6_embeddings": op6_embeddings,
+    "op7_urls": op7_urls,
     "op8_near_dedup": op8_near_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
