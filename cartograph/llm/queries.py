@@ -14,6 +14,7 @@ from .quality import fit_quality, score_quality
 from .secret_scan import find_secrets, fit_secrets, spell
 from .token_counts import token_counts
 from .url_filter import judge_urls
+from .warc_zip import archive_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +74,12 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"
+    )
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode(_table(spark, sf_dir, "documents"), digests=True)
     best = F.array_join(F.transform("best_scores", lambda x: F.format_string("%.4f", x)), ";")
@@ -88,6 +95,7 @@ QUERIES = {
     "op6_embeddings": op6_embeddings,
     "op7_urls": op7_urls,
     "op8_near_dedup": op8_near_dedup,
+    "op9_warc": op9_warc,
     "op10_sentencepiece": op10_sentencepiece,
 }
 SQL: dict[str, str] = {}
