@@ -10,10 +10,11 @@ aligned 5-grams of m and n, the similarity is c / (m + n - c), the Jaccard index
 aligned 5-grams.
 
 Groups of copies: equal texts meet in one representative first.  In each bucket all members
-are compared with one member, not with each other; then, round after round, buckets that
-still hold several components choose another member and compare it with the members of
-other components, until every member of another component has been the chosen one or no
-round finds a link.  Nothing is capped, and no pair inside a component is ever made.
+are compared with its smallest one.  In buckets that then still hold several components,
+every member outside the main one is compared with every member of another component, in
+blocks, each pair in the first bucket that it shares and only until a link joins the two
+components.  So no pair of a bucket is left open, and nothing is capped; pairs inside a
+component, as in a group of many near copies, are not made.
 
 Defined results: a null text links with nothing; empty texts equal each other, and so do
 texts of equal words and white space only if they are equal strings or align fully; a text
@@ -38,6 +39,9 @@ SIMILARITY = 0.8
 #: A pair at similarity 0.8 misses a band of 5 with probability 0.67, all 28 with 1.4e-5.
 BANDS = 28
 BAND_LABELS = 5
+#: Members of a bucket in one block, about.
+BLOCK = 192
+
 
 _MIX1, _MIX2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,27 +83,34 @@ def labels_of(text: str, known: _WordHashes, words: int = WORDS) -> np.ndarray:
     return out
 
 
-_SEEDS = _mix(np.arange(1, 513, dtype=np.uint64) * _GOLD)
+#: Odd multipliers; labels are mixed already, so a product orders them anew in each band.
+_ODD = _mix(np.arange(1, 513, dtype=np.uint64) * _GOLD) | np.uint64(1)
+#: Labels of a text that are hashed for all bands at once.
+_AT_ONCE = 1 << 15
 
 
-def bands_of(labels: np.ndarray, bands: int = BANDS, size: int = BAND_LABELS) -> list[int]:
+def bands_of(labels: np.ndarray, bands: int = BANDS, size: int = BAND_LABELS) -> np.ndarray:
     """One signed 64-bit key a band; none for a text without words."""
-    if len(labels) == 0:
-        return []
-    out = np.empty(bands, np.uint64)
-    for b in range(bands):
-        h = _mix(labels ^ _SEEDS[b])
-        if len(h) > size:
-            low = np.argpartition(h, size)[:size]
-            low.sort()
-            h = h[low]
-        key = np.uint64(b + 1)
-        with np.errstate(over="ignore"):
-            for x in h:
-                key = (key ^ x) * _MIX2
-                key ^= key >> np.uint64(29)
-        out[b] = key
-    return out.view(np.int64).tolist()
+    n = len(labels)
+    if n == 0:
+        return np.zeros(0, np.int64)
+    odd = _ODD[:bands, None]
+    if n <= size:
+        low = np.broadcast_to(labels * odd, (bands, n))
+    elif n <= _AT_ONCE:
+        h = labels * odd
+        place = np.argpartition(h, size, axis=1)[:, :size]
+        place.sort(axis=1)  # text order
+        low = np.take_along_axis(h, place, axis=1)
+    else:
+        low = np.empty((bands, size), np.uint64)
+        for b in range(bands):
+            h = labels * _ODD[b]
+            low[b] = h[np.sort(np.argpartition(h, size)[:size])]
+    key = np.arange(1, bands + 1, dtype=np.uint64) * _GOLD
+    for k in range(low.shape[1]):
+        key = _mix((key ^ low[:, k]) * _MIX2)
+    return key.view(np.int64)
 
 
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
@@ -131,8 +142,9 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
     return c / (m + n - c)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, size: int = BAND_LABELS) -> DataFrame:
-    """``(id, copy, bands)``: copy hashes the whole text (null for null), bands are the keys."""
+def sketches(whole: DataFrame, bands: int = BANDS, size: int = BAND_LABELS) -> DataFrame:
+    """``whole(id, text)`` to ``(id, copy, bands)``: copy hashes the whole text (null for
+    null), bands are the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
@@ -140,38 +152,122 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, si
             for part in steps(batch):
                 ids, texts = part.column(0), part.column(1).to_pylist()
                 copies = [None if t is None else xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
-                keys = [None if t is None else bands_of(labels_of(t, known), bands, size) for t in texts]
+                keys = [None if t is None else bands_of(labels_of(t, known), bands, size).tolist() for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(copies, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "copy", "bands"]
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "id long, copy binary, bands array<long>"
-    )
+    return whole.mapInArrow(run, "id long, copy binary, bands array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs whose texts align; each text is shuffled once a pair for one side only."""
-    left = pairs.join(texts.toDF("a", "ta"), "a")
-    both = left.join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+def _labelled(texts: DataFrame) -> DataFrame:
+    """``(id, text, bands)`` to ``(id, labels, bands)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
-        last, kept = None, None
         for batch in batches:
             for part in steps(batch):
-                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                ta, tb = part.column(2).to_pylist(), part.column(3).to_pylist()
-                good = []
-                for k in range(len(a)):
-                    if last != b[k]:
-                        last, kept = b[k], labels_of(tb[k], known)
-                    good.append(aligned_similarity(labels_of(ta[k], known), kept, least) >= least)
+                labels = [pa.array(labels_of(t, known).view(np.int64)) for t in part.column(1).to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in labels])]).astype(np.int32)
+                flat = pa.concat_arrays(labels) if labels else pa.array([], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(good, pa.bool_())], ["a", "b", "linked"]
+                    [part.column(0), pa.ListArray.from_arrays(offsets, flat), part.column(2)], ["id", "labels", "bands"]
                 )
 
-    return both.mapInArrow(run, "a long, b long, linked boolean")
+    return texts.select("id", "text", "bands").mapInArrow(run, "id long, labels array<long>, bands array<long>")
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """Rows of a list column as views of one array."""
+    flat, offsets = column.flatten().to_numpy(zero_copy_only=False), np.asarray(column.offsets)
+    offsets = offsets - offsets[0]
+    return [flat[i:j].view(np.uint64) for i, j in zip(offsets[:-1], offsets[1:])]
+
+
+def _verified(pairs: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """The ``(a, b)`` of ``pairs`` that align.  One side's labels are shuffled with each pair."""
+    left = pairs.join(labels.select(F.col("id").alias("a"), F.col("labels").alias("la")), "a")
+    both = left.join(labels.select(F.col("id").alias("b"), F.col("labels").alias("lb")), "b").select("a", "b", "la", "lb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch):
+                good = [aligned_similarity(x, y, least) >= least for x, y in zip(_lists(part.column(2)), _lists(part.column(3)))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _across(rows: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """Links ``(a, b)`` between components of the same bucket.
+
+    ``rows(id, key, component, main, minor, total)``.  Members outside the main component are
+    queries, all members are answers; either are cut into blocks, and a task compares one
+    block of queries with one of answers.  A pair that shares several buckets is compared in
+    the first one only, and not at all once links of the task have joined its components.
+    """
+    query = F.col("component") != F.col("main")
+    answers, queries = F.ceil(F.col("total") / BLOCK).cast("int"), F.ceil(F.col("minor") / BLOCK).cast("int")
+    i, j = F.pmod(F.xxhash64("id"), answers).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), queries).cast("int")
+    place = lambda x, y, role: F.struct((x.cast("long") * queries + y).alias("side"), F.lit(role).alias("role"))
+    as_answer = F.transform(F.sequence(F.lit(0), queries - 1), lambda y: place(i, y, 1))
+    as_query = F.when(query, F.transform(F.sequence(F.lit(0), answers - 1), lambda x: place(x, j, 0))).otherwise(
+        F.array().cast("array<struct<side:bigint,role:int>>")
+    )
+    dealt = (
+        rows.withColumn("minor_id", query).withColumn("at", F.concat(as_answer, as_query))
+        .join(labels, "id").withColumn("at", F.explode("at"))
+        .select("key", F.col("at.side").alias("side"), F.col("at.role").alias("role"), "id", "component", "minor_id", "bands", "labels")
+    )
+    dealt = dealt.repartition("key", "side").sortWithinPartitions("key", "side", "role", "id")
+
+    def compare(group: list[tuple]) -> list[tuple[int, int]]:
+        asked, given = [r for r in group if r[2] == 0], [r for r in group if r[2] == 1]
+        if not asked or not given:
+            return []
+        key = np.int64(group[0][0])
+        qb, ab = np.stack([r[6] for r in asked]).view(np.int64), np.stack([r[6] for r in given]).view(np.int64)
+        band = int((qb[0] == key).argmax())
+        sizes_q, sizes_a = np.array([len(r[7]) for r in asked]), np.array([len(r[7]) for r in given])
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        out = []
+        ids_a, minor_a = np.array([r[3] for r in given]), np.array([r[5] for r in given])
+        comps_a = np.array([r[4] for r in given])
+        for k, r in enumerate(asked):
+            mine = (comps_a != r[4]) & (~minor_a | (ids_a < r[3]))
+            mine &= np.minimum(sizes_a, sizes_q[k]) >= least * np.maximum(sizes_a, sizes_q[k])
+            if band:
+                mine &= ~(ab[:, :band] == qb[k, :band]).any(axis=1)
+            for x in np.flatnonzero(mine):
+                g = given[x]
+                one, two = root(r[4]), root(g[4])
+                if one != two and aligned_similarity(r[7], g[7], least) >= least:
+                    joined[max(one, two)] = min(one, two)
+                    out.append((max(r[3], g[3]), min(r[3], g[3])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        for batch in batches:
+            found = []
+            for part in steps(batch):
+                plain = [part.column(c).to_pylist() for c in range(6)]
+                for r in zip(*plain, _lists(part.column(6)), _lists(part.column(7))):
+                    if group and group[0][:2] != r[:2]:
+                        found += compare(group)
+                        group = []
+                    group.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        found = compare(group) if group else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -183,46 +279,31 @@ def near_duplicates(
     ``class_id`` is the smallest id of the component of linked texts, ``n_class`` its number
     of documents, ``kept`` marks the one document that stays.
     """
-    spark = docs.sparkSession
-    ws = Workspace(spark, "near-dup")
-    all_rows = ws.table(sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col, bands, size), "sketches")
+    ws = Workspace(docs.sparkSession, "near-dup")
+    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    all_rows = ws.table(sketches(whole, bands, size), "sketches")
     # Equal texts: one representative each.  Rows with null text stand alone.
     copies = all_rows.where("copy is not null").groupBy("copy").agg(F.min("id").alias("rep"))
-    reps = all_rows.join(copies.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").where("size(bands) > 0")
-    keys = reps.select("id", F.posexplode("bands").alias("band", "key")).dropDuplicates()
-    shared = keys.groupBy("band", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    rows = ws.table(keys.join(shared, ["band", "key"]).select("id", "band", "key", F.col("low").alias("center")), "buckets")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    tried = ws.table(
-        _verified(rows.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct(), texts, least),
-        "tried",
+    reps = all_rows.select("id", "bands").join(copies.select(F.col("rep").alias("id")), "id", "left_semi")
+    keys = reps.select("id", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low")
+    rows = ws.table(keys.join(shared, "key").select("id", "key", "low"), "buckets")
+    # Only texts that share a bucket are needed again; this shuffles texts, once.
+    needed = all_rows.select("id", "bands").join(rows.select("id").distinct(), "id", "left_semi")
+    labels = ws.table(_labelled(whole.join(needed, "id")), "labels")
+    pairs = rows.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+    links = ws.table(_verified(pairs, labels, least), "links")
+    components = connected_components(ws, links)
+    # Buckets that still hold several components.
+    named = rows.select("id", "key").join(components, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
+    parts = named.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = (
+        parts.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("top"))
+        .where("k > 1").select("key", "total", F.col("top.component").alias("main"), (F.col("total") - F.col("top.n")).alias("minor"))
     )
-    links = tried.where("linked")
-    turn = 1
-    components = connected_components(ws, links.select("a", "b"))
-    while True:
-        # Buckets that still hold several components: another centre for each, round by round.
-        named = rows.select("id", "band", "key").join(components, "id", "left").select(
-            "id", "band", "key", F.coalesce("component", "id").alias("component")
-        )
-        mixed = named.groupBy("band", "key").agg(
-            F.min("component").alias("c0"), F.max("component").alias("c1"),
-            F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "component")).alias("center"),
-        ).where("c0 < c1").select("band", "key", F.col("center.id").alias("b"), F.col("center.component").alias("cb"))
-        pairs = (
-            named.join(mixed, ["band", "key"]).where("component <> cb")
-            .select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-            .join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-        )
-        more = ws.table(_verified(pairs, texts, least), "tried")
-        found, fresh = more.agg(F.count_if("linked"), F.count("*")).first()
-        tried = tried.union(more)
-        turn += 1
-        if found:
-            links = tried.where("linked")
-            components = connected_components(ws, links.select("a", "b"))
-        elif turn > 2 or not fresh:
-            break
+    more = ws.table(_across(named.join(mixed, "key"), labels, least), "links")
+    known = components.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    components = connected_components(ws, known.union(more))
     member = all_rows.select("id", "copy").join(copies, "copy", "left").select("id", F.coalesce("rep", "id").alias("rep"))
     classes = (
         member.join(components.withColumnRenamed("id", "rep"), "rep", "left")
