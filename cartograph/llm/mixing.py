@@ -37,6 +37,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 BLOCK_WORDS = 128
 SHARD_SLOTS = 8192
+SLOTS_A_TASK = 200_000
 #: Documents of one chunk of a source, about.
 CHUNK_DOCS = 2048
 #: A target is at most this many times the size of its source.
@@ -142,7 +143,8 @@ def _plan(docs: DataFrame, ws: Workspace, weights, id_col, text_col, source_col,
         .join(sums, ["s", "chunk"]).withColumn("begin", F.col("first") + F.col("own")).drop("first", "own")
     )
     fixed = sources.select("s", "blocks", "passes", "last", "tail", F.col("begin").alias("begin_slot"))
-    slot = spark.range(slots).select(
+    tasks = max(spark.sparkContext.defaultParallelism, slots // SLOTS_A_TASK)
+    slot = spark.range(0, slots, 1, tasks).select(
         F.col("id").alias("slot"), F.floor(F.col("id") / SHARD_SLOTS).alias("shard"),
         shuffled(F.col("id"), F.lit(max(slots, 1)).cast("long"), F.lit(seed).cast("long")).alias("image"),
     )
@@ -223,9 +225,8 @@ def mix_documents(
     names = docs.columns
     own = docs.withColumn("__mark", F.xxhash64(F.col(id_col), F.col(text_col)))
     words = F.filter(F.split(F.col(f"`{text_col}`"), GAP, -1), lambda w: w != "")
-    cut = F.array_join(
-        F.flatten(F.transform("ranges", lambda r: F.slice(words, r["at"].cast("int") + 1, r["n"].cast("int")))), " "
-    )
+    inside = lambda w, k: F.exists("ranges", lambda r: (k >= r["at"]) & (k < r["at"] + r["n"]))
+    cut = F.array_join(F.filter(words, inside), " ")
     joined = own.join(
         parts.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "taken", "ranges", F.col("size").alias("__size")),
         ["__mark"],
