@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +27,13 @@ COLUMNS = (
     "bare_body string, error string"
 )
 _NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
+_TYPES = [{"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]] for c in COLUMNS.split(", ")]
+#: Members that a worker holds before it hands them on.
+AT_ONCE = 2048
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
 
 
 def member_rows(path: str, source: str | None, language: str | None) -> Iterator[tuple]:
@@ -52,18 +59,19 @@ def extract_members(files: DataFrame, path_col: str = "path", content_col: str =
     """A row a member of ``files(path, content)``; the language goes by extension, and what is
     not TypeScript is read as C#.  Columns are pruned before the text leaves the JVM."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for path, content, language in rows.itertuples(index=False):
-                found = list(member_rows(path, content, language))
-                if found:
-                    frame = pd.DataFrame(found, columns=_NAMES)
-                    for c in ("line", "start_line", "end_line", "start_char", "end_char", "body_start", "body_end"):
-                        frame[c] = frame[c].astype("Int32")
-                    yield frame
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                held += member_rows(*(batch.column(c)[k].as_py() for c in range(3)))
+                if len(held) >= AT_ONCE:
+                    yield _batch(held)
+                    held = []
+        if held:
+            yield _batch(held)
 
     narrow = files.select(F.col(path_col).alias("path"), F.col(content_col).cast("string").alias("content"))
-    return narrow.withColumn("language", F.coalesce(language_of(F.col("path")), F.lit("csharp"))).mapInPandas(run, COLUMNS)
+    return narrow.withColumn("language", F.coalesce(language_of(F.col("path")), F.lit("csharp"))).mapInArrow(run, COLUMNS)
 
 
 def register_table_function(spark: SparkSession, name: str = "extract_members") -> None:

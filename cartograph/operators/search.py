@@ -55,7 +55,7 @@ def must_state(vectors: list, token_lists: list[list[str]]) -> tuple[list[float]
     return unit, list(dict.fromkeys(t for tokens in token_lists for t in tokens))
 
 
-def search_many(index: DataFrame, queries: DataFrame, key_col: str, query_vector_col: str, top: int = TOP, id_col: str = "path", vector_col: str = "embedding") -> DataFrame:
+def search_many(index: DataFrame, queries: DataFrame, key_col: str, query_vector_col: str, top: int = TOP, id_col: str = "path", vector_col: str = "embedding", digits: int | None = None) -> DataFrame:
     """Top ``top`` of ``index`` for each row of ``queries``.
 
     The stated queries meet all index rows in blocks; the window keeps ``top`` rows a query in
@@ -63,11 +63,17 @@ def search_many(index: DataFrame, queries: DataFrame, key_col: str, query_vector
     """
     block = queries.select(F.col(key_col), F.col(query_vector_col).alias("__q"))
     rows = index.select(F.col(id_col), F.col(vector_col).alias("__v")).where("__v is not null")
-    scored = rows.join(block, F.lit(True), "cross").select(key_col, id_col, V.dot(F.col("__v"), F.col("__q")).alias("score"))
+    value = V.dot(F.col("__v"), F.col("__q"))
+    value = value if digits is None else F.round(value, digits)
+    scored = rows.join(block, F.lit(True), "cross").select(key_col, id_col, value.alias("score"))
     order = Window.partitionBy(key_col).orderBy(F.desc("score"), id_col)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+def ranked_line(value: Column, name: Column) -> Column:
+    """Score with four decimals, a tab, the name."""
+    return F.format_string("%.4f\t%s", value.cast("double"), name)
+
+
 def ranked_lines(results: DataFrame, name_col: str = "path") -> DataFrame:
-    """``value``: score with four decimals, a tab, the name."""
-    return results.select(F.format_string("%.4f\t%s", F.col("score").cast("double"), F.col(name_col)).alias("value"))
+    return results.select(ranked_line(F.col("score"), F.col(name_col)).alias("value"))
