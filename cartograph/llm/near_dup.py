@@ -309,7 +309,7 @@ def near_duplicates(
         member.join(components.withColumnRenamed("id", "rep"), "rep", "left")
         .select("id", F.coalesce("component", "rep").alias("class_id"))
     )
-    sizes = classes.groupBy("class_id").agg(F.count("*").alias("n_class"))
+    sizes = ws.table(classes.groupBy("class_id").agg(F.count("*").alias("n_class")), "sizes")  # a hot class can be split in the join
     out = classes.join(sizes, "class_id").select(
         F.col("id").alias(id_col), "class_id", "n_class", (F.col("id") == F.col("class_id")).alias("kept")
     )
