@@ -168,10 +168,11 @@ def filter_signatures(rows: DataFrame, pattern: str | None) -> DataFrame:
 
 def is_valid_regex(spark: SparkSession, regex: str) -> bool:
     from py4j.protocol import Py4JJavaError
+    from pyspark.errors import IllegalArgumentException
 
     try:
         spark._jvm.java.util.regex.Pattern.compile(regex)
-    except Py4JJavaError:
+    except (Py4JJavaError, IllegalArgumentException):
         return False
     return True
 
