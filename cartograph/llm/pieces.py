@@ -34,54 +34,63 @@ from .batches import steps
 from .vocabulary import MODEL_PATH, UNIT, Remembered, Vocabulary, worker_vocabulary
 
 BEST = 4
-REMEMBERED = 60_000
+#: Parts of texts that a worker remembers at most, about 250 bytes each.
+REMEMBERED = 1_200_000
 FAR = 1 << 60
 
 
-def forward(vocabulary: Vocabulary, unit: str) -> tuple[list[int], list[list[tuple]], int]:
-    """Best scores by position, pieces by end ``(start, score, ids)``, and the best loss of
-    a second path over the whole unit (``FAR`` if there is none)."""
+def best_path(vocabulary: Vocabulary, unit: str) -> tuple[list[int], int, int]:
+    """Ids and score of the best path, and how much less the second best one scores (``FAR``
+    if there is none).  One pass over the pieces, which come by end and longest first,
+    carries the two best scores of each position."""
     size = len(unit)
-    ends: list[list[tuple]] = [[] for _ in range(size + 1)]
-    for at, (length, score, k) in vocabulary.matches(unit):
-        ends[at + 1].append((at + 1 - length, score, k))
-    best, second = [0], [-FAR]
-    for end in range(1, size + 1):
-        arcs = ends[end]
-        if unit[end - 1] not in vocabulary.single:
-            arcs.append((end - 1, vocabulary.unknown_score, -1))
-        one = two = -FAR
-        for start, score, _ in arcs:
-            value = best[start] + score
-            if value > one:
-                one, two = value, one
-            elif value > two:
-                two = value
-            value = second[start] + score
-            if value > two:
-                two = value
-        best.append(one), second.append(two)
-    return best, ends, best[-1] - second[-1] if second[-1] > -FAR // 2 else FAR
+    best, second, back = [-FAR] * (size + 1), [-FAR] * (size + 1), [0] * (size + 1)
+    length_to = [1] * (size + 1)
+    best[0] = 0
+    for at, (length, score, k) in vocabulary.arcs(unit):
+        end = at + 1
+        start = end - length
+        value, top = best[start] + score, best[end]
+        if value > top:
+            other = second[start] + score
+            best[end], second[end] = value, other if other > top else top
+            back[end], length_to[end] = k, length
+        elif value > second[end]:
+            second[end] = value
+    ids: list[int] = []
+    end = size
+    while end:
+        k = back[end]
+        if k >= 0:
+            ids.append(k)
+            end -= length_to[end]
+        else:
+            end -= 1
+            ids += reversed(vocabulary.unknown_ids(unit[end]))
+    ids.reverse()
+    return ids, best[size], best[size] - second[size] if second[size] > -FAR // 2 else FAR
 
 
-def _ids(vocabulary: Vocabulary, unit: str, start: int, k: int) -> list[int]:
-    return [k] if k >= 0 else vocabulary.unknown_ids(unit[start])
+def forward(vocabulary: Vocabulary, unit: str) -> tuple[list[int], list[list[tuple]]]:
+    """Best scores by position, and the pieces by end as ``(start, score, id)``."""
+    ends: list[list[tuple]] = [[] for _ in range(len(unit) + 1)]
+    best = [-FAR] * (len(unit) + 1)
+    best[0] = 0
+    for at, (length, score, k) in vocabulary.arcs(unit):
+        start = at + 1 - length
+        ends[at + 1].append((start, score, k))
+        if best[start] + score > best[at + 1]:
+            best[at + 1] = best[start] + score
+    return best, ends
 
 
-def best_path(vocabulary: Vocabulary, unit: str, best: list[int], ends: list[list[tuple]]) -> list[int]:
-    parts, end = [], len(unit)
-    while end:
-        for start, score, k in ends[end]:
-            if best[start] + score == best[end]:
-                parts.append(_ids(vocabulary, unit, start, k))
-                end = start
-                break
-    return [k for part in reversed(parts) for k in part]
+def _ids(vocabulary: Vocabulary, unit: str, start: int, k: int) -> list[int]:
+    return [k] if k >= 0 else vocabulary.unknown_ids(unit[start])
 
 
 def n_best(vocabulary: Vocabulary, unit: str, n: int) -> list[tuple[int, list[int]]]:
     """The ``n`` best segmentations ``(score, ids)`` of ``unit``, best first."""
-    best, ends, _ = forward(vocabulary, unit)
+    best, ends = forward(vocabulary, unit)
     out: list[tuple[int, list[int]]] = []
     # (-promise, position, number, score so far, arc, rest): nearer to the start goes first.
     agenda: list[tuple] = [(-best[-1], len(unit), 0, 0, None)]
@@ -101,52 +110,110 @@ def n_best(vocabulary: Vocabulary, unit: str, n: int) -> list[tuple[int, list[in
     return out
 
 
+_ENCODERS: dict[tuple, "Encoder"] = {}
+
+
+def worker_encoder(raw: bytes, n: int) -> "Encoder":
+    """One encoder a Python process, so that what it remembers serves later tasks."""
+    vocabulary = worker_vocabulary(raw)
+    if (vocabulary.key, n) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[vocabulary.key, n] = Encoder(vocabulary, n)
+    return _ENCODERS[vocabulary.key, n]
+
+
+class _Slots(dict):
+    """Part to its number; a part that is met first is segmented."""
+
+    def __init__(self, add):
+        super().__init__()
+        self.add = add
+
+    def __missing__(self, part: str) -> int:
+        slot = self[part] = self.add(part)
+        return slot
+
+
 class Encoder:
-    """Encodes whole texts; remembers parts up to a bound."""
+    """Encodes whole texts.  Segmentations of parts are remembered in arrays, so that a text
+    is a gather over the numbers of its parts; all is forgotten once there are too many."""
 
     def __init__(self, vocabulary: Vocabulary, n: int = BEST, remembered: int = REMEMBERED):
-        self.vocabulary, self.n = vocabulary, n
-        self.parts = Remembered(self._part, remembered)
-        self.searched = Remembered(lambda unit: n_best(vocabulary, unit, n), max(1, remembered // 16))
-
-    def _part(self, unit: str) -> tuple[bytes, int, int]:
-        best, ends, loss = forward(self.vocabulary, unit)
-        return np.array(best_path(self.vocabulary, unit, best, ends), np.int32).tobytes(), best[-1], loss
-
-    def __call__(self, text: str | None) -> tuple[bytes, int, list[tuple[int, dict[int, list[int]]]]]:
-        """``(ids of the best as int32 bytes, score, segmentations)``; a segmentation is its
-        score and the parts, by position, that differ from the best one."""
-        units = self.vocabulary.units(text or "")
-        parts = list(map(self.parts.__getitem__, units))
-        ids = b"".join([p[0] for p in parts])
-        score = sum([p[1] for p in parts])
+        self.vocabulary, self.n, self.remembered = vocabulary, n, remembered
+        self.searched = Remembered(lambda part: n_best(vocabulary, part, n), max(1, remembered // 60))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots = _Slots(self._add)
+        self.about = np.zeros((1024, 4), np.int64)  # score, loss, start, length
+        self.ids = np.zeros(8192, np.int32)
+        self.size = self.used = 0
+        self.new_about: list[int] = []
+        self.new_ids: list[int] = []
+
+    def _add(self, part: str) -> int:
+        ids, score, loss = best_path(self.vocabulary, part)
+        self.new_about += (score, loss, self.used + len(self.new_ids), len(ids))
+        self.new_ids += ids
+        return len(self.slots)
+
+    def _take_in(self) -> None:
+        """Move new parts into the arrays."""
+        if not self.new_about:
+            return
+        rows, ids = np.array(self.new_about, np.int64).reshape(-1, 4), np.array(self.new_ids, np.int32)
+        while self.size + len(rows) > len(self.about):
+            self.about = np.concatenate([self.about, np.zeros_like(self.about)])
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.about[self.size : self.size + len(rows)] = rows
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.size, self.used = self.size + len(rows), self.used + len(ids)
+        self.new_about, self.new_ids = [], []
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, int, list[tuple[int, dict[int, list[int]]]]]:
+        """``(ids of the best, score, segmentations)``; a segmentation is its score and the
+        parts, by position, that differ from the best one."""
+        keys = self.vocabulary.units(text or "")
+        if not keys:
+            return np.zeros(0, np.int32), 0, [(0, {})]
+        if len(self.slots) >= self.remembered:
+            self._forget()
+        slots = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))
+        self._take_in()
+        about = self.about[slots]
+        score, loss, start, length = int(about[:, 0].sum()), about[:, 1], about[:, 2], about[:, 3]
         found: list[tuple[int, dict[int, list[int]]]] = [(score, {})]
-        if self.n > 1 and units:
-            nearest = heapq.nsmallest(self.n - 1, zip([p[2] for p in parts], range(len(parts))))
-            for loss, at in nearest:
-                if loss >= FAR:
-                    continue
-                ways = self.searched[units[at]]
+        wanted = self.n - 1
+        if wanted:
+            near = np.flatnonzero(loss <= np.partition(loss, wanted - 1)[wanted - 1]) if len(loss) > wanted else np.arange(len(loss))
+            for at in near[np.argsort(loss[near], kind="stable")][:wanted].tolist():
+                if loss[at] >= FAR:
+                    break
+                ways = self.searched[keys[at]]
                 top = ways[0][0]
                 merged = [(s + way[0] - top, change | ({at: way[1]} if k else {})) for s, change in found for k, way in enumerate(ways)]
                 merged.sort(key=lambda x: -x[0])
                 found = merged[: self.n]
-        return ids, score, found
+        ends = np.cumsum(length)
+        place = np.arange(ends[-1]) + np.repeat(start - ends + length, length)
+        return self.ids[place], score, found
 
     def spell(self, text: str | None, change: dict[int, list[int]]) -> list[int]:
         """All ids of one segmentation."""
         out: list[int] = []
-        for at, unit in enumerate(self.vocabulary.units(text or "")):
-            out += change[at] if at in change else np.frombuffer(self.parts[unit][0], np.int32).tolist()
+        parts = self.vocabulary.units(text or "")
+        slots = [self.slots[part] for part in parts]
+        self._take_in()
+        for at, slot in enumerate(slots):
+            if at in change:
+                out += change[at]
+            else:
+                _, _, start, length = self.about[slot].tolist()
+                out += self.ids[start : start + length].tolist()
         return out
 
 
-SCHEMA = (
-    "ids array<int>, n_pieces long, score double, best_scores array<double>, "
-    "best_ids array<array<int>>, decoded string"
-)
-
-
 def encode(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL_PATH, n: int = BEST,
     alternatives: bool = False, decoded: bool = False, digests: bool = False,
@@ -171,19 +238,19 @@ def encode(
     names[0] = id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = worker_vocabulary(raw)
-        encoder = Encoder(vocabulary, n)
+        encoder = worker_encoder(raw, n)
+        vocabulary = encoder.vocabulary
         for batch in batches:
             for part in steps(batch, 128, 2 << 20):
                 texts = part.column(1).to_pylist()
                 done = [encoder(t) for t in texts]
-                counts = [len(d[0]) // 4 for d in done]
+                counts = [len(d[0]) for d in done]
                 columns = [part.column(0)]
                 if digests:
-                    columns.append(pa.array([hashlib.sha256(d[0]).hexdigest() for d in done]))
+                    columns.append(pa.array([hashlib.sha256(d[0].astype("<i4").tobytes()).hexdigest() for d in done]))
                 else:
                     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join([d[0] for d in done]), np.int32)))
+                    columns.append(pa.ListArray.from_arrays(offsets, np.concatenate([d[0] for d in done]) if done else np.zeros(0, np.int32)))
                 columns += [
                     pa.array(counts, pa.int64()), pa.array([d[1] / UNIT for d in done], pa.float64()),
                     pa.array([[s / UNIT for s, _ in d[2]] for d in done], pa.list_(pa.float64())),
@@ -191,7 +258,7 @@ def encode(
                 if alternatives:
                     columns.append(pa.array([[encoder.spell(t, c) for _, c in d[2]] for t, d in zip(texts, done)], pa.list_(pa.list_(pa.int32()))))
                 if decoded or digests:
-                    back = [vocabulary.decode(np.frombuffer(d[0], np.int32).tolist()) for d in done]
+                    back = [vocabulary.decode(d[0].tolist()) for d in done]
                     columns += [pa.array(back, pa.string())] * decoded
                     columns += [pa.array([b == (t or "") for b, t in zip(back, texts)], pa.bool_())] * digests
                 yield pa.RecordBatch.from_arrays(columns, names)

@@ -25,33 +25,29 @@ from .batches import steps
 from .vocabulary import MODEL_PATH, Remembered, Vocabulary, worker_vocabulary
 
 #: Parts of texts that a worker remembers in each of two generations.
-REMEMBERED = 120_000
+REMEMBERED = 250_000
+LOWEST = -(1 << 60)
 
 
 def count_pieces(vocabulary: Vocabulary, unit: str) -> tuple[int, int]:
     """``(number of pieces, score in 1/1024)`` of the best segmentation of ``unit``."""
-    best, count, loose = [0], [0], [False]
-    found = vocabulary.matches(unit)
-    match = next(found, None)
-    single, unknown = vocabulary.single, vocabulary.unknown_score
-    for at, char in enumerate(unit):
-        top, pieces, is_loose = None, 0, False
-        while match is not None and match[0] == at:
-            length, score, _ = match[1]
-            start = at + 1 - length
-            if top is None or best[start] + score > top:
-                top, pieces = best[start] + score, count[start] + 1
-            match = next(found, None)
-        if char not in single:
-            score = best[at] + unknown
-            if top is None or score > top:
-                top, is_loose = score, True
-                if vocabulary.has_bytes:
-                    pieces = count[at] + len(char.encode("utf-8", "surrogatepass"))
-                else:
-                    pieces = count[at] + (not loose[at])
-        best.append(top), count.append(pieces), loose.append(is_loose)
-    return count[-1], best[-1]
+    size = len(unit)
+    best, count = [LOWEST] * (size + 1), [0] * (size + 1)
+    best[0] = 0
+    loose = [False] * (size + 1)  # the best path ends in an unknown character
+    for at, (length, score, k) in vocabulary.arcs(unit):
+        start = at + 1 - length
+        value = best[start] + score
+        if value > best[at + 1]:
+            best[at + 1], loose[at + 1] = value, k < 0
+            if k >= 0:
+                more = 1
+            elif vocabulary.has_bytes:
+                more = len(unit[at].encode("utf-8", "surrogatepass"))
+            else:
+                more = not loose[start]
+            count[at + 1] = count[start] + more
+    return count[size], best[size]
 
 
 def token_counts(
@@ -67,7 +63,7 @@ def token_counts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = worker_vocabulary(raw)
-        known = Remembered(lambda unit: count_pieces(vocabulary, unit)[0], remembered)
+        known = Remembered(lambda part: count_pieces(vocabulary, part)[0], remembered)
         for batch in batches:
             counts = []
             for part in steps(batch):

@@ -10,10 +10,12 @@ the float arithmetic of the C++ library wherever that is exact.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 import struct
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 import ahocorasick
 
@@ -21,6 +23,7 @@ import ahocorasick
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 UNIT = 1024
+LATIN_END = "\u0250"
 #: Fixed values of the model format: kinds of pieces, the kind of a unigram model, the space
 #: symbol, and the penalty of an unknown character below the least score.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -69,21 +72,32 @@ class Vocabulary:
     unknown_score: int
     dummy_prefix: bool
     #: No piece goes on beyond a space symbol, so that units can be segmented one by one.
+    #: A character that no piece has, as a line end often is, separates as well.
     separable: bool
     key: str
     byte_ids: dict[int, int] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.automaton = ahocorasick.Automaton()
-        self.single = set()
+        # Texts of few scripts need few pieces.  The root of an automaton looks its children up
+        # one by one, so units of ASCII or Latin letters have automata of their own; a piece
+        # with another letter cannot occur in them.
+        self.automata = [ahocorasick.Automaton() for _ in range(3)]
+        self.known: list[set[str]] = [set(), set(), set()]
         for k, (piece, kind) in enumerate(zip(self.pieces, self.kinds)):
             if kind in (NORMAL, USER_DEFINED) and piece:
-                self.automaton.add_word(piece, (len(piece), self.scores[k], k))
-                if len(piece) == 1:
-                    self.single.add(piece)
-        if len(self.automaton):
-            self.automaton.make_automaton()
+                letters = piece.replace(SPACE, "")
+                first = 0 if letters.isascii() else 1 if max(letters) < LATIN_END else 2
+                for automaton, known in zip(self.automata[first:], self.known[first:]):
+                    automaton.add_word(piece, (len(piece), self.scores[k], k))
+                    if len(piece) == 1:
+                        known.add(piece)
+        self.single = self.known[-1]
+        for automaton in self.automata:
+            if len(automaton):
+                automaton.make_automaton()
+        self.splits_lines = not any("\n" in p for p in self.pieces)
         self.has_bytes = len(self.byte_ids) == 256
+        self.plain = [p if kind in (NORMAL, USER_DEFINED) else None for p, kind in zip(self.pieces, self.kinds)]
 
     def unknown_ids(self, char: str) -> list[int]:
         if self.has_bytes:
@@ -96,20 +110,38 @@ class Vocabulary:
         return (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
 
     def units(self, text: str) -> list[str]:
-        """The parts of the escaped text between which no piece reaches."""
+        """The parts of the escaped text between which no piece reaches; some may be empty."""
         if not text:
             return []
+        escaped = self.escape(text)
         if not self.separable:
-            return [self.escape(text)]
-        if self.dummy_prefix and "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text:
-            return [SPACE + part for part in text.split(" ")]
-        return re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", self.escape(text))
-
-    def matches(self, unit: str):
-        """``(end, (length, score, id))`` of all pieces in ``unit``: by end, longest first."""
-        return self.automaton.iter(unit) if len(self.automaton) else iter(())
+            return [escaped]
+        if SPACE + SPACE in escaped or "\0" in escaped:
+            return re.findall(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if self.splits_lines else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", escaped)
+        marked = escaped.replace(SPACE, "\0" + SPACE)
+        if self.splits_lines:
+            marked = marked.replace("\n", "\0\n\0")
+        return marked.split("\0")
+
+    def arcs(self, unit: str):
+        """``(end, (length, score, id))`` of all pieces in ``unit`` and of its unknown characters
+        (id -1): by end, longest first, the unknown character last."""
+        for known, automaton in zip(self.known, self.automata):
+            if known.issuperset(unit):  # no character that is no piece of its own
+                return automaton.iter(unit)
+        unknown = (1, self.unknown_score, -1)
+        odd = [(k, unknown) for k, c in enumerate(unit) if c not in self.single]
+        return heapq.merge(self.automata[-1].iter(unit) if len(self.automata[-1]) else iter(()), odd, key=itemgetter(0))
 
     def decode(self, ids) -> str:
+        try:
+            text = "".join(map(self.plain.__getitem__, ids))
+        except TypeError:  # bytes, control or unknown pieces
+            text = self._decode_any(ids)
+        text = text.replace(SPACE, " ")
+        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+
+    def _decode_any(self, ids) -> str:
         out, pending = [], bytearray()
         for k in ids:
             kind = self.kinds[k]
@@ -120,11 +152,10 @@ class Vocabulary:
                 out.append(pending.decode("utf-8", "replace"))
                 pending.clear()
             if kind != CONTROL:
-                out.append(" ⁇ " if kind == UNKNOWN else self.pieces[k])
+                out.append(" \u2047 " if kind == UNKNOWN else self.pieces[k])
         if pending:
             out.append(pending.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+        return "".join(out)
 
 
 def zipf_score(rank: float) -> float:
@@ -185,20 +216,19 @@ def worker_vocabulary(raw: bytes) -> Vocabulary:
     return _LOADED[key]
 
 
-class Remembered:
+class Remembered(dict):
     """Values by key in two generations: words in use stay, memory is bounded."""
 
     def __init__(self, make, most: int):
-        self.make, self.most = make, most
-        self.young, self.old = {}, {}
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
 
-    def __getitem__(self, key):
-        value = self.young.get(key)
+    def __missing__(self, key):
+        value = self.old.get(key)
         if value is None:
-            value = self.old.get(key)
-            if value is None:
-                value = self.make(key)
-            if len(self.young) >= self.most:
-                self.old, self.young = self.young, {}
-            self.young[key] = value
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = self.copy()
+            self.clear()
+        self[key] = value
         return value
