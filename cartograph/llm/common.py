@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 512
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
@@ -44,7 +47,12 @@ class Workspace:
         """Write ``df`` and return it as read back."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(ARROW_ROWS)
+        self.spark.conf.set(ARROW_ROWS, BATCH_ROWS)  # rows here can be wide: whole texts, lists of hashes
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(ARROW_ROWS, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._workspace_path = path
         return out
