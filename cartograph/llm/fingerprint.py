@@ -123,7 +123,8 @@ def with_next(df: DataFrame, id_col: str, columns: list[str], range_rows: int =
     lowest = heads.agg(F.min("__range")).first()[0] or 0
     heads = heads.withColumn("__above", F.coalesce(F.lag("__range").over(order), F.lit(lowest)))
     heads = heads.select(F.col("__range").alias("__r"), "__head", "__above")
-    joined = placed.join(F.broadcast(heads), (F.col("__range") == F.col("__r")) & key.eqNullSafe(F.col("__head")), "left")
+    # The id alone names the head: its range follows from it.
+    joined = placed.join(F.broadcast(heads), key.eqNullSafe(F.col("__head")), "left")
     copies = F.when(
         F.col("__r").isNotNull(),
         F.array(F.struct(F.col("__range").alias("r"), F.lit(0).alias("g")), F.struct(F.col("__above").alias("r"), F.lit(1).alias("g"))),

@@ -55,6 +55,8 @@ def share_out(sizes: list[int], weights: list[float], most: float = MOST) -> lis
     free, rest = list(range(len(sizes))), total
     while free:
         scale = sum(weights[k] for k in free)
+        if not scale:  # sources without weight take nothing, even if others are full
+            break
         over = {k for k in free if rest * weights[k] / scale > most * sizes[k]}
         for k in free:
             out[k] = float(most * sizes[k]) if k in over else rest * weights[k] / scale
@@ -223,13 +225,14 @@ def mix_documents(
         )
     )
     names = docs.columns
-    own = docs.withColumn("__mark", F.xxhash64(F.col(id_col), F.col(text_col)))
-    words = F.filter(F.split(F.col(f"`{text_col}`"), GAP, -1), lambda w: w != "")
-    inside = lambda w, k: F.exists("ranges", lambda r: (k >= r["at"]) & (k < r["at"] + r["n"]))
-    cut = F.array_join(F.filter(words, inside), " ")
-    joined = own.join(
-        parts.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "taken", "ranges", F.col("size").alias("__size")),
-        ["__mark"],
-    ).where(F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
-    text = F.when(F.col("taken") >= F.col("__size"), F.col(f"`{text_col}`")).otherwise(cut)
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names])
+    takes = parts.select(
+        F.col("id").alias("__mix_id"), F.col("mark").alias("__mix_mark"), F.col("taken").alias("__mix_taken"),
+        F.col("ranges").alias("__mix_ranges"), F.col("size").alias("__mix_size"),
+    )
+    text = F.col(f"`{text_col}`")
+    own = docs.withColumn("__mix_mark", F.xxhash64(F.col(id_col), text))
+    joined = own.join(takes, "__mix_mark").where(F.col(f"`{id_col}`").eqNullSafe(F.col("__mix_id")))
+    words = F.filter(F.split(text, GAP, -1), lambda w: w != "")
+    inside = lambda w, k: F.exists("__mix_ranges", lambda r: (k >= r["at"]) & (k < r["at"] + r["n"]))
+    taken = F.when(F.col("__mix_taken") >= F.col("__mix_size"), text).otherwise(F.array_join(F.filter(words, inside), " "))
+    return joined.select(*[taken.alias(c) if c == text_col else F.col(f"`{c}`") for c in names])

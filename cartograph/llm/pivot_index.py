@@ -34,6 +34,8 @@ FIT_VECTORS = 4096
 PIVOTS = 512
 NEAREST = 6
 SHARED = 3
+#: Pivots are less alike than this.
+APART = 0.7
 BLOCK = 128
 #: Pairs that are compared at once.
 AT_ONCE = 1 << 16
@@ -45,11 +47,13 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
-    """Farthest-first from ``sample`` (unit rows): each is least like those before it."""
+    """Farthest-first from ``sample`` (unit rows): each is least like those before it.  It ends
+    early where the next one would be close to another, so a dense group has one pivot at most
+    and its members, however many the sample has, keep the same nearest pivots."""
     order, near = [0], sample @ sample[0]
     while len(order) < min(count, len(sample)):
         k = int(near.argmin())
-        if near[k] > 1 - 1e-9:
+        if near[k] > APART:
             break
         order.append(k)
         near = np.maximum(near, sample @ sample[k])

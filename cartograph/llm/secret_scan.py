@@ -99,8 +99,10 @@ def spell(spans: Column) -> Column:
 
 def redact(docs: DataFrame, table: list[float], text_col: str = "text", mark: str = "[SECRET]", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mark``; overlapping spans by one."""
-    found = find_secrets(docs, table, text_col, threshold)
-    text = F.col(f"`{text_col}`")
+    names = docs.columns
+    kept = docs.select(*[F.col(f"`{c}`").alias(f"__own_{c}") for c in names], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    found = find_secrets(kept, table, "__text", threshold).withColumnRenamed("all_spans", "__spans")
+    text = F.col("__text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def turn(state: Column, span: Column) -> Column:
@@ -108,6 +110,6 @@ def redact(docs: DataFrame, table: list[float], text_col: str = "text", mark: st
         out = F.when(fresh, F.concat(state["out"], F.substring(text, state["at"] + 1, span["start"] - state["at"]), F.lit(mark))).otherwise(state["out"])
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), out.alias("out"))
 
-    done = F.aggregate("all_spans", start, turn, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    new = F.when(F.size("all_spans") > 0, done).otherwise(text)
-    return found.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    done = F.aggregate("__spans", start, turn, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    new = F.when(F.size("__spans") > 0, done).otherwise(text)
+    return found.select(*[new.alias(c) if c == text_col else F.col(f"`__own_{c}`").alias(c) for c in names])
