@@ -157,6 +157,14 @@ def changed(live: DataFrame, stored: DataFrame, key: str = "path", hashes: str =
     return live.join(known, key, "left").where(~digests.hashes_json(F.col(hashes)).eqNullSafe(F.col("__old"))).drop("__old")
 
 
+def folder_status(live: DataFrame, stored: DataFrame, key: str = "path", hashes: str = "file_hashes") -> DataFrame:
+    """``key, status`` of each live folder: not stored, stored as it is, or with other hashes."""
+    known = stored.select(F.col(key), digests.hashes_json(F.col(hashes)).alias("__old"))
+    same = digests.hashes_json(F.col(hashes)) == F.col("__old")
+    state = F.when(F.col("__old").isNull(), F.lit(MISSING)).when(same, F.lit(FRESH)).otherwise(F.lit(STALE))
+    return live.join(known, key, "left").select(key, state.alias("status"))
+
+
 def state_key_of(files: DataFrame, branch: str) -> str:
     """Key of a listing: two levels of digests, so that no task holds all entries.
 

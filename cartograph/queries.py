@@ -405,7 +405,7 @@ def _sharp_files(spark, sf_dir) -> DataFrame:
         F.lit("using System;\nnamespace Parts {\n  public class Part"), key, F.lit(" {\n    private int _n; // field\n    public Part"), key,
         F.lit("(int n) { _n = n; }\n    public int Size { get; private set; }\n    /* "), F.col("p_name"),
         F.lit(" */\n    public string Describe(string a, int b)\n    {\n      // "), F.col("p_brand"), F.lit("\n      return \"{ "), F.col("p_name"),
-        F.lit(" }\";\n    }\n    class Inner { void Hidden() {} }\n  }\n}\n"),
+        F.lit(" }\";\n    }\n    class Inner { void Hidden() { } }\n  }\n}\n"),
     )
     return _table(spark, sf_dir, "part").select(F.concat(F.lit("src/Part"), key, F.lit(".cs")).alias("path"), text.alias("content"))
 
@@ -498,3 +498,106 @@ def embed_folders(spark, sf_dir):
     texts = folder_texts(spark, sf_dir)
     rows = texts.select("folder", embed_column(F.col("embedding_text"), HashEmbedder(64)).alias("v"))
     return rows.select("folder", F.size("v").alias("size"), F.round(V.norm(F.col("v")), 5).alias("norm"))
+
+
+# --- listings, sinks and small functions ----------------------------------------------------
+
+def _listing(spark, sf_dir) -> DataFrame:
+    """Parts stand for tracked files, those of size 11 are gone, suppliers are new files."""
+    part = _table(spark, sf_dir, "part")
+    path = F.concat(F.when(F.col("p_size") % 7 == 0, F.lit("src/Tests/")).otherwise(F.concat(F.lit("src/"), "p_type", F.lit("/"))), F.col("p_partkey").cast("string"), F.lit(".cs"))
+    tracked = part.select(path.alias("path"), F.substring(F.sha2("p_name", 256), 1, 8).alias("hash"), F.lit("tracked").alias("origin"))
+    gone = part.where("p_size = 11").select(path.alias("path"), F.lit("").alias("hash"), F.lit("deleted").alias("origin"))
+    new = _table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("src/new/s"), F.col("s_suppkey").cast("string"), F.when(F.col("s_nationkey") % 2 == 0, F.lit(".TS")).otherwise(F.lit(".md"))).alias("path"),
+        F.concat_ws(":", F.lit("wt"), F.col("s_suppkey").cast("string")).alias("hash"), F.lit("untracked").alias("origin"),
+    )
+    return tracked.unionByName(gone).unionByName(new)
+
+
+@query(
+    "SELECT 'src/' || p_type || '/' || p_partkey || '.cs' AS path, 'src/' || p_type AS folder, p_partkey || '.cs' AS file_name, sha256(p_name)[1:8] AS hash "
+    "FROM part WHERE p_size % 7 <> 0 AND p_size <> 11 UNION ALL SELECT 'src/new/s' || s_suppkey || '.TS', 'src/new', 's' || s_suppkey || '.TS', 'wt:' || s_suppkey "
+    "FROM supplier WHERE s_nationkey % 2 = 0"
+)
+def working_tree(spark, sf_dir):
+    from .sources.git import working_tree as tree
+
+    return tree(_listing(spark, sf_dir))
+
+
+@query(f"WITH {_SNAP} SELECT l.path, CASE WHEN o.h IS NULL THEN 'Missing' WHEN o.h = l.h THEN 'Fresh' ELSE 'Stale' END AS status FROM l LEFT JOIN o ON l.path = o.path")
+def folder_status(spark, sf_dir):
+    live, stored = _snapshots(spark, sf_dir)
+    return index.folder_status(live, stored)
+
+
+@query(
+    f"SELECT 'src/Part' || {_K} || '.cs:' || u.line || chr(9) || replace(u.t, '@', {_K}) || chr(9) || replace(u.m, '@', {_K}) || chr(9) || replace(u.s, '@', {_K}) AS value FROM part, "
+    "(VALUES (5, 'Part@', 'Part@', 'public Part@(int n)'), (6, 'Part@', 'Size', 'public int Size { get; private set; }'), "
+    "(8, 'Part@', 'Describe', 'public string Describe(string a, int b)'), (13, 'Part@.Inner', 'Hidden', 'void Hidden()')) u(line, t, m, s)"
+)
+def signature_lines(spark, sf_dir):
+    return extract.signature_lines(extract.signatures(extract.extract_members(_sharp_files(spark, sf_dir))))
+
+
+@query(f"SELECT 'src/Part' || {_K} || '.cs' AS file, 'Hidden' AS member_name, 'Part' || {_K} || '.Inner' AS containing_type, 'void Hidden() {{ }}' AS content FROM part")
+def member_of_type(spark, sf_dir):
+    rows = extract.member_source(extract.extract_members(_sharp_files(spark, sf_dir)), "Hidden", "Inner")
+    return rows.select("file", "member_name", "containing_type", "content")
+
+
+@query(f"SELECT DISTINCT n AS member_name FROM customer, unnest(['id', 'constructor', 'load', 'make' || {_C}]) t(n)")
+def member_names(spark, sf_dir):
+    return extract.extract_members(_script_files(spark, sf_dir)).where("error is null").select("member_name").distinct()
+
+
+@query(
+    "SELECT doc_id, (length(text) // 2 + length(regexp_replace(substr(text, 1, (length(text) // 2)::BIGINT), '[^\\x{10000}-\\x{10FFFF}]', '', 'g')))::INT AS utf16, "
+    "len(string_split(substr(text, 1, (length(text) // 2)::BIGINT), chr(10)))::INT AS line FROM documents"
+)
+def text_offsets(spark, sf_dir):
+    half = F.floor(F.length("text") / 2).cast("int")
+    return _table(spark, sf_dir, "documents").select(
+        "doc_id", extract.utf16_offset(F.col("text"), half).alias("utf16"), extract.line_of(F.col("text"), half).alias("line")
+    )
+
+
+@query(
+    f"SELECT 'src/Part' || {_K} || '.cs' AS file, '{{\"file\":\"src/Part' || {_K} || '.cs\",\"member_name\":\"Size\",\"containing_type\":\"Part' || {_K} || '\",\"start_line\":6,\"content\":\"public int Size {{ get; private set; }}\"}}' AS json FROM part"
+)
+def json_rows(spark, sf_dir):
+    rows = extract.member_source(extract.extract_members(_sharp_files(spark, sf_dir)), "Size")
+    return rows.select("file", F.to_json(F.struct("file", "member_name", "containing_type", "start_line", "content")).alias("json"))
+
+
+@query("SELECT event_id::VARCHAR AS path, event_type AS tokens, event_type AS embedding_text, 'k' AS filename_set, regexp_extract(props, ': (.*)}', 1) AS value FROM events")
+def migrate_index(spark, sf_dir):
+    old = _table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("path"), F.col("event_type").alias("combined_tokens"), F.col("props").alias("file_hashes"))
+    rows = index.migrate(old)
+    return rows.select("path", F.array_join("tokens", " ").alias("tokens"), "embedding_text", "filename_set", F.col("file_hashes")["k"].alias("value"))
+
+
+@query(
+    "WITH n AS (SELECT upper(p_name[1]) || substr(p_name, 2) AS name, p_partkey FROM part UNION ALL SELECT p_name, p_partkey FROM part) SELECT upper(name) AS key, count(DISTINCT p_partkey) AS n FROM n GROUP BY upper(name)"
+)
+def distinct_without_case(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    both = part.select(F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 1000)).alias("name"), "p_partkey").union(part.select("p_name", "p_partkey"))
+    return both.groupBy(F.upper("name").alias("key")).agg(F.countDistinct("p_partkey").alias("n"))
+
+
+@query(
+    "SELECT p_partkey, 'src/Part' || p_size || ' small' AS p0, array_to_string(list_filter(l, lambda w, i: list_position(l, w) = i), ' ') AS tokens, "
+    "'src Part' || p_size || '. Files: ' || upper(p_name[1]) || substr(p_name, 2) || '. Methods: Get Http Status, Run' AS embedding_text "
+    "FROM (SELECT *, list_concat(['src', 'part' || p_size], [lower(p_name)], ['get', 'http', 'status', 'run']) AS l FROM part)"
+)
+def combined_tokens(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    path = F.concat(F.lit("src/Part"), F.col("p_size").cast("string"))
+    names = F.array(F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 1000), F.lit(".cs")))
+    methods = F.array(F.lit("GetHttpStatus"), F.lit("Run"))
+    return part.select(
+        "p_partkey", F.concat(path, F.lit(" small")).alias("p0"), F.array_join(tokens.combined_tokens(path, names, methods), " ").alias("tokens"),
+        tokens.embedding_text(path, names, methods).alias("embedding_text"),
+    )
