@@ -35,7 +35,7 @@ from .vocabulary import MODEL_PATH, UNIT, Remembered, Vocabulary, worker_vocabul
 
 BEST = 4
 #: Parts of texts that a worker remembers at most, about 250 bytes each.
-REMEMBERED = 1_200_000
+REMEMBERED = 500_000
 FAR = 1 << 60
 
 
