@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,6 +101,20 @@ class IndexStore:
             if name.startswith("version-") and name not in (version, previous):
                 fs.delete(status.getPath(), True)
 
+    @contextmanager
+    def staging(self):
+        """A function that writes a table for the time of a build and reads it back."""
+        name = f"staging-{uuid.uuid4().hex}"
+
+        def stage(rows: DataFrame, table: str) -> DataFrame:
+            rows.write.parquet(f"{self.root}/{name}/{table}")
+            return self.spark.read.schema(rows.schema).parquet(f"{self.root}/{name}/{table}")
+
+        try:
+            yield stage
+        finally:
+            self._fs().delete(self._path(name), True)
+
     def upsert(self, rows: DataFrame, values: dict | None = None) -> None:
         self.write(upserted(self.read(), rows), values or {})
 
@@ -206,18 +221,20 @@ def describe_folders(folders: DataFrame, files: DataFrame, embedder) -> DataFram
 def build_index(store: IndexStore, files: DataFrame, branch: str, head: str = "unknown", embedder=None, force: bool = False) -> dict[str, int]:
     """Bring the index up to ``files(path, folder, file_name, hash, content)``.
 
+    Contents are hashed in one pass, and read again for changed folders only; the listing,
+    the folders and what changed are staged as tables beside the versions meanwhile.
     Returns how many folders there are, and how many were updated, kept and removed.
     """
     embedder = embedder or embedding.default_embedder()
-    live = group_folders(files)
-    old = store.spark.createDataFrame([], SCHEMA) if force else store.read()
-    fresh = describe_folders(changed(live, old), files, embedder)
-    kept = old.join(changed(live, old).select("path"), "path", "left_anti").join(live.select("path"), "path", "left_semi")
-    before = old.count()
-    key = state_key_of(files, branch)
-    store.write(
-        kept.withColumn("__new", F.lit(False)).unionByName(fresh.withColumn("__new", F.lit(True))).drop("__new"),
-        {"index_state_key": key, "git_head": head, "indexed_at": datetime.now(timezone.utc).isoformat()},
-    )
-    total, unchanged = live.count(), kept.count()
-    return {"folders": total, "updated": total - unchanged, "unchanged": unchanged, "removed": before - old.join(live.select("path"), "path", "left_semi").count()}
+    with store.staging() as stage:
+        listed = stage(files.select("path", "folder", "file_name", "hash"), "files")
+        live = stage(group_folders(listed), "folders")
+        old = store.spark.createDataFrame([], SCHEMA) if force else store.read()
+        updated = stage(changed(live, old), "changed")
+        kept = pruned(old, live).join(updated.select("path"), "path", "left_anti")
+        fresh = describe_folders(updated, files, embedder)
+        total, n_updated, before = live.count(), updated.count(), old.select("path").count()
+        values = {"index_state_key": state_key_of(listed, branch), "git_head": head, "indexed_at": datetime.now(timezone.utc).isoformat()}
+        gone = before - old.select("path").join(live.select("path"), "path", "left_semi").count()
+        store.write(kept.unionByName(fresh), values)
+    return {"folders": total, "updated": n_updated, "unchanged": total - n_updated, "removed": gone}
