@@ -1,10 +1,11 @@
 """Quality classifier by compression.
 
-Two zstandard dictionaries are trained, one from text labelled good and one from text
-labelled bad.  A text is cut into windows of fixed length, all of it; every window is
-compressed once with either dictionary.  The difference of the two summed sizes over
-their sum is the only feature, and a logistic curve fitted on labelled rows that the
-dictionaries never saw turns it into a score from 0 to 1.
+zstandard dictionaries are trained from text labelled good and from text labelled bad; the
+labelled rows are dealt to a few pairs of dictionaries, since a trained dictionary keeps only
+what it found most useful.  A text is cut into windows of fixed length, all of it, and every
+window is compressed once with each dictionary.  The difference of the summed sizes, bad less
+good, over the size of the text is the only feature, and a logistic curve fitted on labelled
+rows that the dictionaries never saw turns it into a score from 0 to 1.
 
 Defined results: a null or empty text has feature 0 and the score that the curve gives
 for 0; without labels of both classes, every score is the share of good labels (0.5
@@ -28,17 +29,20 @@ from .batches import steps
 
 #: Labelled rows of each class that a fit reads at most, those of smallest hash.
 FIT_ROWS = 3000
-WINDOW_BYTES = 1024
+WINDOW_BYTES = 512
 #: Windows of one text that a dictionary is trained from at most, spread evenly.
-TRAIN_WINDOWS = 8
-DICTIONARY_BYTES = 32768
-LEVEL = 1
+TRAIN_WINDOWS = 16
+DICTIONARY_BYTES = 65536
+LEVEL = 3
+#: Pairs of dictionaries at most, and labelled texts of a class that one needs.
+PAIRS = 4
+PAIR_ROWS = 50
 
 
 @dataclass(frozen=True)
 class QualityModel:
-    good: bytes
-    bad: bytes
+    good: tuple[bytes, ...]
+    bad: tuple[bytes, ...]
     slope: float
     intercept: float
     window: int = WINDOW_BYTES
@@ -57,22 +61,22 @@ def _compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
 
 
 class Feature:
-    """The normalised difference of compressed sizes; positive is nearer to good text."""
+    """The difference of compressed sizes a byte of text; higher is nearer to good text."""
 
-    def __init__(self, good: bytes, bad: bytes, window: int, level: int):
+    def __init__(self, good: tuple[bytes, ...], bad: tuple[bytes, ...], window: int, level: int):
         self.window = window
-        self.pair = [_compressor(d, level) for d in (good, bad)] if good and bad else None
+        self.good = [_compressor(d, level) for d in good]
+        self.bad = [_compressor(d, level) for d in bad]
 
     def __call__(self, text: str | None) -> float:
-        if not text or self.pair is None:
+        if not text or not self.good:
             return 0.0
         raw = text.encode("utf-8", "surrogatepass")
-        sizes = [0, 0]
+        difference = 0
         for at in range(0, len(raw), self.window):
             piece = raw[at : at + self.window]
-            for k, compressor in enumerate(self.pair):
-                sizes[k] += len(compressor.compress(piece))
-        return (sizes[1] - sizes[0]) / (sizes[0] + sizes[1])
+            difference += sum([len(c.compress(piece)) for c in self.bad]) - sum([len(c.compress(piece)) for c in self.good])
+        return difference / (len(raw) * len(self.good))
 
 
 def _train(texts: list[str | None], window: int, size: int) -> bytes:
@@ -125,7 +129,7 @@ def fit_quality(
     n = sum(totals.values())
     if len(totals) < 2:
         share = (totals.get(1, 0) + 0.5) / (n + 1) if n else 0.5
-        return QualityModel(b"", b"", 0.0, math.log(share / (1 - share)), window, level)
+        return QualityModel((), (), 0.0, math.log(share / (1 - share)), window, level)
     picked = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(fit_rows)
@@ -140,10 +144,11 @@ def fit_quality(
     for y in (0, 1):
         if not parts[y, True] or not parts[y, False]:  # tiny input: both uses share the rows
             parts[y, True] = parts[y, False] = parts[y, True] + parts[y, False]
-    good, bad = (_train(parts[y, False], window, dictionary_bytes) for y in (1, 0))
-    if not good or not bad or not parts[0, True] or not parts[1, True]:
+    pairs = max(1, min(PAIRS, min(len(parts[0, False]), len(parts[1, False])) // PAIR_ROWS))
+    good, bad = (tuple(_train(parts[y, False][k::pairs], window, dictionary_bytes) for k in range(pairs)) for y in (1, 0))
+    if not all(good) or not all(bad) or not parts[0, True] or not parts[1, True]:
         share = totals[1] / n
-        return QualityModel(b"", b"", 0.0, math.log(share / (1 - share)), window, level)
+        return QualityModel((), (), 0.0, math.log(share / (1 - share)), window, level)
     feature = Feature(good, bad, window, level)
     x = {y: np.array([feature(t) for t in parts[y, True]]) for y in (0, 1)}
     weight = np.concatenate([np.full(len(x[y]), totals[y] / len(x[y])) for y in (0, 1)])

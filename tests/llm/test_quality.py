@@ -31,7 +31,7 @@ def test_odd_rows(spark, odd, none):
 
 
 def test_whole_text_counts():
-    feature = Feature(b"good text here " * 40, b"BAD!! TEXT!! " * 40, 256, 1)
+    feature = Feature((b"good text here " * 40,), (b"BAD!! TEXT!! " * 40,), 256, 1)
     good = "good text here " * 200
     assert feature(good) > feature(good + "BAD!! TEXT!! " * 200) > feature("BAD!! TEXT!! " * 200)
     assert feature(None) == feature("") == 0
