@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -26,9 +28,10 @@ def shared_root(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = "file://" + os.path.join(tempfile.gettempdir(), f"cartograph-{os.getpid()}")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    folder = os.path.join(tempfile.gettempdir(), f"cartograph-{os.getpid()}")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
+    return f"file://{folder}"
 
 
 class Workspace:
