@@ -283,7 +283,8 @@ def near_duplicates(
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     all_rows = ws.table(sketches(whole, bands, size), "sketches")
     # Equal texts: one representative each.  Rows with null text stand alone.
-    copies = all_rows.where("copy is not null").groupBy("copy").agg(F.min("id").alias("rep"))
+    # A table of its own: a text of very many copies can then be split in the joins with it.
+    copies = ws.table(all_rows.where("copy is not null").groupBy("copy").agg(F.min("id").alias("rep")), "copies")
     reps = all_rows.select("id", "bands").join(copies.select(F.col("rep").alias("id")), "id", "left_semi")
     keys = reps.select("id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low")
