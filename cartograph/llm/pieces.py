@@ -140,7 +140,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, n: int = BEST, remembered: int = REMEMBERED):
         self.vocabulary, self.n, self.remembered = vocabulary, n, remembered
-        self.searched = Remembered(lambda part: n_best(vocabulary, part, n), max(1, remembered // 60))
+        self.searched = Remembered(lambda part: n_best(vocabulary, vocabulary.unit(part), n), max(1, remembered // 60))
         self._forget()
 
     def _forget(self) -> None:
@@ -152,7 +152,7 @@ class Encoder:
         self.new_ids: list[int] = []
 
     def _add(self, part: str) -> int:
-        ids, score, loss = best_path(self.vocabulary, part)
+        ids, score, loss = best_path(self.vocabulary, self.vocabulary.unit(part))
         self.new_about += (score, loss, self.used + len(self.new_ids), len(ids))
         self.new_ids += ids
         return len(self.slots)
@@ -174,7 +174,7 @@ class Encoder:
     def __call__(self, text: str | None) -> tuple[np.ndarray, int, list[tuple[int, dict[int, list[int]]]]]:
         """``(ids of the best, score, segmentations)``; a segmentation is its score and the
         parts, by position, that differ from the best one."""
-        keys = self.vocabulary.units(text or "")
+        keys = self.vocabulary.parts(text or "")
         if not keys:
             return np.zeros(0, np.int32), 0, [(0, {})]
         if len(self.slots) >= self.remembered:
@@ -202,7 +202,7 @@ class Encoder:
     def spell(self, text: str | None, change: dict[int, list[int]]) -> list[int]:
         """All ids of one segmentation."""
         out: list[int] = []
-        parts = self.vocabulary.units(text or "")
+        parts = self.vocabulary.parts(text or "")
         slots = [self.slots[part] for part in parts]
         self._take_in()
         for at, slot in enumerate(slots):

@@ -63,12 +63,12 @@ def token_counts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = worker_vocabulary(raw)
-        known = Remembered(lambda part: count_pieces(vocabulary, part)[0], remembered)
+        known = Remembered(lambda part: count_pieces(vocabulary, vocabulary.unit(part))[0], remembered)
         for batch in batches:
             counts = []
             for part in steps(batch):
                 for text in part.column(at).to_pylist():
-                    counts.append(sum(map(known.__getitem__, vocabulary.units(text))) if text else 0)
+                    counts.append(sum(map(known.__getitem__, vocabulary.parts(text))) if text else 0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], [*names, out_col])
 
     return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)

@@ -29,6 +29,8 @@ LATIN_END = "\u0250"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM_KIND = 1
 SPACE = "▁"
+#: Marks a key whose part does not start with a space symbol.
+BARE = "\x01"
 UNKNOWN_PENALTY = 10
 
 
@@ -109,19 +111,44 @@ class Vocabulary:
             return ""
         return (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
 
-    def units(self, text: str) -> list[str]:
-        """The parts of the escaped text between which no piece reaches; some may be empty."""
+    def parts(self, text: str) -> list[str]:
+        """Short keys of the parts between which no piece reaches, in order; see :meth:`unit`.
+
+        A key leaves out the space symbol that nearly all parts start with: keys of Latin
+        text are then short strings of one byte a character.
+        """
         if not text:
             return []
-        escaped = self.escape(text)
+        if not self.separable or not self.dummy_prefix:
+            return [self._key(u) for u in self._split(self.escape(text))]
+        if "  " in text or text[0] == " " or BARE in text or SPACE in text or (not self.splits_lines and "\n" in text):
+            return [self._key(u) for u in self._split(self.escape(text))]
+        if self.splits_lines:
+            text = text.replace("\n", f" \n {BARE}")
+        return text.split(" ")
+
+    def _split(self, escaped: str) -> list[str]:
         if not self.separable:
             return [escaped]
-        if SPACE + SPACE in escaped or "\0" in escaped:
-            return re.findall(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if self.splits_lines else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", escaped)
-        marked = escaped.replace(SPACE, "\0" + SPACE)
-        if self.splits_lines:
-            marked = marked.replace("\n", "\0\n\0")
-        return marked.split("\0")
+        line = "\n|" if self.splits_lines else ""
+        stop = "\n" if self.splits_lines else ""
+        return re.findall(f"{line}{SPACE}+[^{SPACE}{stop}]*|[^{SPACE}{stop}]+", escaped)
+
+    @staticmethod
+    def _key(unit: str) -> str:
+        if unit == "\n":
+            return unit
+        return unit[1:] if unit[0] == SPACE and SPACE not in unit[1:] and BARE not in unit and unit[1:] != "\n" else BARE + unit
+
+    @staticmethod
+    def unit(key: str) -> str:
+        """The part of the escaped text that a key stands for."""
+        if key[:1] == BARE:
+            return key[1:]
+        return key if key == "\n" else SPACE + key
+
+    def units(self, text: str) -> list[str]:
+        return [self.unit(key) for key in self.parts(text)]
 
     def arcs(self, unit: str):
         """``(end, (length, score, id))`` of all pieces in ``unit`` and of its unknown characters

@@ -29,7 +29,7 @@ def library(vocabulary):
     return sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
 
 
-SAMPLES = ["", " ", "  a  b ", "a\n\nb\n", "\n", "日本語 テキスト🙂x", "é ü ß", "a\0b", "x" * 500, "Hello world, this is it.", "   ", "\t\r\n"]
+SAMPLES = ["", " ", "  a  b ", "a\n\nb\n", "\n", "日本語 テキスト🙂x", "é ü ß", "a\0b", "x" * 500, "Hello world, this is it.", "   ", "\t\r\n", "a \nb", "a\n b", "\nb", "b\n", "b ", " b", "a\x01b c", "\x01", "a ▁b▁ c".replace("▁", "_"), "\n\n \n", "x\n  y", "ab\n\x01cd"]
 
 
 def test_equals_the_library(vocabulary, library, texts):
