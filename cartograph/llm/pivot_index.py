@@ -1,11 +1,13 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
 Reference points (pivots) are chosen farthest-first from a bounded sample, so that a dense
-group of vectors holds one of them at most.  Every vector is described by its nearest pivots.
-The inverted lists of the index are kept by triples of pivots: a list holds the vectors of a
-label that have all three among their nearest, so two vectors meet exactly if they share at
-least three pivots.  Candidates are verified by cosine in double precision.  A pair that
-meets in several lists counts in one only, that of its three smallest shared pivots.
+group of vectors holds one of them at most.  Every vector is described by its nearest pivots,
+in each of two sets of pivots that come from samples apart.  The inverted lists of the index
+are kept by triples of pivots of a set: a list holds the vectors of a label that have all
+three among their nearest, so two vectors meet exactly if they share at least three pivots of
+a set; what one set misses, the other one mostly finds.  Candidates are verified by cosine in
+double precision.  A pair that meets in several lists counts in one only, that of its three
+smallest shared pivots in the first set where it meets.
 
 Equal vectors of a label meet in one class first.  A long list is cut into blocks, and every
 two blocks are compared in a task of their own.  No pair is written: a list gives each of its
@@ -29,11 +31,13 @@ from pyspark.sql import functions as F
 from .common import Workspace, connected_components
 
 LEAST = 0.93
-#: Vectors that the pivots are chosen from at most, those whose id hashes lowest.
+#: Vectors that the pivots of a set are chosen from at most, of those whose id hashes lowest.
 FIT_VECTORS = 4096
 PIVOTS = 512
 NEAREST = 6
 SHARED = 3
+#: Independent sets of pivots; at most 4 fit in a key.
+SETS = 2
 #: Pivots are less alike than this.
 APART = 0.7
 BLOCK = 128
@@ -60,13 +64,16 @@ def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
     return sample[order]
 
 
-def fit_pivots(vectors: DataFrame, vector_col: str, id_col: str, count: int = PIVOTS, fit_vectors: int = FIT_VECTORS) -> dict[int, np.ndarray]:
-    """Pivots by length of vector, from a bounded sample."""
-    rows = vectors.orderBy(F.xxhash64(id_col), id_col).limit(fit_vectors).select(vector_col).collect()
+def fit_pivots(
+    vectors: DataFrame, vector_col: str, id_col: str, count: int = PIVOTS, fit_vectors: int = FIT_VECTORS, sets: int = SETS,
+) -> list[dict[int, np.ndarray]]:
+    """Sets of pivots by length of vector, from a bounded sample that is dealt to the sets."""
+    rows = vectors.orderBy(F.xxhash64(id_col), id_col).limit(fit_vectors * sets).select(vector_col).collect()
     by_size: dict[int, list] = {}
     for r in rows:
         by_size.setdefault(len(r[0]), []).append(r[0])
-    return {size: choose_pivots(_unit(np.array(some, dtype=float)), count) for size, some in by_size.items()}
+    units = {size: _unit(np.array(some, dtype=float)) for size, some in by_size.items()}
+    return [{size: choose_pivots(some[k::sets], count) for size, some in units.items() if len(some) > k} for k in range(sets)]
 
 
 def _pivots_of(pivots: dict[int, np.ndarray], size: int) -> np.ndarray:
@@ -75,8 +82,9 @@ def _pivots_of(pivots: dict[int, np.ndarray], size: int) -> np.ndarray:
     return pivots[size]
 
 
-def describe(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
-    """``classes(rep, label, vector, n)`` with ``near`` (nearest pivots, ascending) and ``keys``."""
+def describe(classes: DataFrame, pivots: list[dict[int, np.ndarray]], nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
+    """``classes(rep, label, vector, n)`` with ``near`` (of each set the nearest pivots, ascending,
+    and -1 where it has fewer) and ``keys``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,18 +95,22 @@ def describe(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int = N
             keys: list = [None] * len(rows)
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                points = _pivots_of(pivots, int(size))
-                likeness = _unit(np.array([rows[k] for k in at], dtype=float)) @ points.T
-                width = min(nearest, len(points))
-                top = np.argsort(-likeness, axis=1, kind="stable")[:, :width].astype(np.int64)
-                top.sort(axis=1)
-                sets = list(combinations(range(width), min(shared, width)))
-                code = np.zeros((len(at), len(sets)), np.int64)
-                for k, columns in enumerate(sets):
-                    for c in columns:
-                        code[:, k] = code[:, k] * 4096 + top[:, c]
-                base = (labels[at] * 1_000_003 + size) % (1 << 26)
-                code |= base[:, None] << 36
+                unit = _unit(np.array([rows[k] for k in at], dtype=float))
+                base = (labels[at] * 1_000_003 + size) % (1 << 24)
+                tops, codes = [], []
+                for number, some in enumerate(pivots):
+                    points = _pivots_of(some, int(size))
+                    width = min(nearest, len(points))
+                    top = np.argsort(-(unit @ points.T), axis=1, kind="stable")[:, :width].astype(np.int64)
+                    top.sort(axis=1)
+                    sets = list(combinations(range(width), min(shared, width)))
+                    code = np.zeros((len(at), len(sets)), np.int64)
+                    for k, columns in enumerate(sets):
+                        for c in columns:
+                            code[:, k] = code[:, k] * 4096 + top[:, c]
+                    codes.append(code | (base * 4 + number)[:, None] << 36)
+                    tops.append(np.pad(top, ((0, 0), (0, nearest - width)), constant_values=-1))
+                top, code = np.concatenate(tops, axis=1), np.concatenate(codes, axis=1)
                 for k, r in enumerate(at):
                     near[r], keys[r] = top[k].tolist(), code[k].tolist()
             yield pa.RecordBatch.from_arrays(
@@ -111,7 +123,7 @@ def describe(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int = N
     )
 
 
-def _compare(rows: DataFrame, least: float, shared: int) -> DataFrame:
+def _compare(rows: DataFrame, least: float, shared: int, nearest: int) -> DataFrame:
     """Rows sorted by ``key, a, b`` to ``(rep, links, low)`` of each list."""
 
     def links(code, side, own, rep, label, n, near, vector):
@@ -134,11 +146,14 @@ def _compare(rows: DataFrame, least: float, shared: int) -> DataFrame:
             # In two blocks, only pairs across; labels alike; this list is the pair's own.
             ok = (label[i] == label[j]) & ((own[i] != own[j]) | (side[i] % 2 == 0))
             i, j = i[ok], j[ok]
-            top = code[i] & 4095
-            a, b = near[i], near[j]
-            both = ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] <= top[:, None, None]) & (a[:, :, None] >= 0)).sum((1, 2))
-            ok = both == min(shared, near.shape[1])
-            i, j = i[ok], j[ok]
+            for k in range(near.shape[1]):
+                number, top = code[i] >> 36 & 3, code[i] & 4095
+                a, b = near[i, k], near[j, k]
+                top = np.where(number == k, top, 4095)
+                both = ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] <= top[:, None, None]) & (a[:, :, None] >= 0)).sum((1, 2))
+                enough = np.minimum(shared, (a >= 0).sum(axis=1))
+                ok = (number < k) | np.where(number == k, both == enough, both < enough)
+                i, j = i[ok], j[ok]
             ok = (unit[i] * unit[j]).sum(axis=1) >= least
             found_i.append(i[ok]), found_j.append(j[ok])
 
@@ -176,7 +191,7 @@ def _compare(rows: DataFrame, least: float, shared: int) -> DataFrame:
                 get = lambda c: part.column(c).to_numpy().astype(np.int64)  # noqa: E731, B023
                 wide = lambda c: part.column(c).combine_chunks().flatten().to_numpy()  # noqa: E731, B023
                 yield (get("key"), get("side"), get("own"), get("rep"), get("label"), get("n"),
-                       wide("near").reshape(len(at), -1).astype(np.int64), wide("vector").reshape(len(at), int(size)))
+                       wide("near").reshape(len(at), -1, nearest).astype(np.int64), wide("vector").reshape(len(at), int(size)))
 
         held = None
         for batch in batches:
@@ -200,7 +215,7 @@ def _compare(rows: DataFrame, least: float, shared: int) -> DataFrame:
 
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-    least: float = LEAST, pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED,
+    least: float = LEAST, pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED, sets: int = SETS,
 ) -> DataFrame:
     """``(id_col, n_links, component_id, kept)``: a row a vector."""
     ws = Workspace(vectors.sparkSession, "pivots")
@@ -213,7 +228,7 @@ def near_vectors(
     )
     good = rows.where(usable)
     classes = ws.table(good.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
-    points = fit_pivots(classes, "vector", "rep", min(pivots, 4096))
+    points = fit_pivots(classes, "vector", "rep", min(pivots, 4096), sets=sets)
     index = ws.table(describe(classes, points, nearest, shared), "index")
     posted = index.select("rep", "label", F.explode("keys").alias("key"))
     lists = posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -226,7 +241,7 @@ def near_vectors(
     ).select("key", "side", "own", "rep", "label")
     full = entries.join(index.select("rep", "label", "vector", "n", "near"), ["rep", "label"])
     dealt = full.repartition("key", "side").sortWithinPartitions("key", "side", "rep")
-    found = ws.table(_compare(dealt, least, shared), "links")
+    found = ws.table(_compare(dealt, least, shared, nearest), "links")
     degrees = found.groupBy("rep").agg(F.sum("links").alias("links"))
     components = connected_components(ws, found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     named = (

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from cartograph.llm.pivot_index import choose_pivots, near_vectors
 
@@ -49,6 +50,27 @@ def test_recall_and_precision(spark):
     assert sum(got[i]["component_id"] == want[i][1] for i in want) >= 0.98 * len(want)
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_dense_group_near_the_threshold(spark, seed):
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    free, centre = unit(rng.standard_normal((2400, 64))), unit(rng.standard_normal((1, 64)))
+    dense = unit(centre + rng.standard_normal((1200, 64)) * np.sqrt((1 / 0.941 - 1) / 64))  # median cosine 0.941, a third of the rows
+    aside = rng.standard_normal((400, 64))
+    aside = unit(aside - (aside * free[:400]).sum(1, keepdims=True) * free[:400])
+    cosine = rng.uniform(0.931, 0.94, (400, 1))
+    partner = cosine * free[:400] + np.sqrt(1 - cosine**2) * aside
+    rows = np.concatenate([free[:2000], partner, dense])
+    near = rows @ rows.T >= 0.93
+    want = near.sum(axis=1) - 1
+    df = spark.createDataFrame([(k, r.tolist(), 1) for k, r in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    got = np.array([r["n_links"] for r in near_vectors(df).orderBy("vec_id").collect()])
+    assert (got <= want).all()
+    recall = got[2400:].sum() / want[2400:].sum(), got[2000:2400].sum() / want[2000:2400].sum()
+    print("recall in the dense group and of single pairs:", *recall)
+    assert min(recall) >= 0.95
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
