@@ -3,8 +3,11 @@
 Every text becomes its sequence of word 5-grams, each labelled with its occurrence number,
 so that all labels of a text differ.  A band keeps the few labels of smallest hash and
 hashes them in text order: two texts share a band only if they share those 5-grams in the
-same order.  Candidates that share a band are verified by a banded alignment of the two
-label sequences: the longest common subsequence inside the band of shifts that the asked
+same order.  Bands of short texts say too little (all labels of a text of 4 never equal
+those of a text of 5), so a text of at most 14 labels is also posted under every ordered part
+of its labels that a partner can share at the asked similarity: two such texts meet for
+certain.  Candidates that share a band or such a part are verified by a banded alignment of
+the two label sequences: the longest common subsequence inside the band of shifts that the asked
 similarity allows, found as an increasing subsequence since labels are unique.  With c
 aligned 5-grams of m and n, the similarity is c / (m + n - c), the Jaccard index of the
 aligned 5-grams.
@@ -14,7 +17,8 @@ are compared with its smallest one.  In buckets that then still hold several com
 every member outside the main one is compared with every member of another component, in
 blocks, each pair in the first bucket that it shares and only until a link joins the two
 components.  So no pair of a bucket is left open, and nothing is capped; pairs inside a
-component, as in a group of many near copies, are not made.
+component, as in a group of many near copies, are not made.  Members of a part meet the one
+that lacks fewest labels beside it: whoever links with another by that part links with it.
 
 Defined results: a null text links with nothing; empty texts equal each other, and so do
 texts of equal words and white space only if they are equal strings or align fully; a text
@@ -23,7 +27,10 @@ of under five words is one 5-gram of its words.  Ties go to the smallest id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +43,12 @@ from .common import Workspace, connected_components
 
 WORDS = 5
 SIMILARITY = 0.8
-#: A pair at similarity 0.8 misses a band of 5 with probability 0.67, all 28 with 1.4e-5.
+#: A pair with c labels of u in common shares a band of 5 with probability C(c, 5) / C(u, 5): at 0.8 long texts
+#: miss all 28 with 1.5e-5, 40 of 50 with 3e-5, 16 of 20 with 9e-5, and 12 of 15 (12 against 15) with 2e-4.
 BANDS = 28
 BAND_LABELS = 5
+#: Parts of a short text at most; a text that would have more is not short.  At 0.8, 14 labels have 106.
+PARTS = 128
 #: Members of a bucket in one block, about.
 BLOCK = 192
 
@@ -113,6 +123,36 @@ def bands_of(labels: np.ndarray, bands: int = BANDS, size: int = BAND_LABELS) ->
     return key.view(np.int64)
 
 
+@lru_cache(maxsize=None)
+def _choices(n: int, least: float) -> tuple[tuple[np.ndarray, int], ...] | None:
+    """``(places, code)`` for each number of labels that a text of ``n`` can lack beside a part:
+    the code is 8 times that number, plus how many a partner can lack at most."""
+    room = lambda lost: math.floor((n - lost) * (1 / least - 1) + 1e-9) - lost
+    if n > PARTS or room(0) < 1:  # without room only equal labels link, and they share all bands
+        return None
+    out, total = [], 0
+    for lost in range(n):
+        total += math.comb(n, lost)
+        if room(lost) < 0:
+            break
+        if total > PARTS:
+            return None
+        out.append((np.array(list(combinations(range(n), n - lost))), lost * 8 + min(room(lost), 7)))
+    return tuple(out)
+
+
+def parts_of(labels: np.ndarray, least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Signed 64-bit keys and codes (see ``_choices``) of the parts of a short text, else none."""
+    keys, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for places, code in _choices(len(labels), least) or ():
+        key = np.full(len(places), places.shape[1], np.uint64) * _GOLD
+        for k in range(places.shape[1]):
+            key = _mix((key ^ labels[places[:, k]]) * _MIX2)
+        keys.append(key.view(np.int64))
+        codes.append(np.full(len(key), code, np.int32))
+    return np.concatenate(keys), np.concatenate(codes)
+
+
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Similarity by banded alignment of two label sequences; below ``least`` it may be 0."""
     m, n = len(a), len(b)
@@ -142,9 +182,9 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
     return c / (m + n - c)
 
 
-def sketches(whole: DataFrame, bands: int = BANDS, size: int = BAND_LABELS) -> DataFrame:
-    """``whole(id, text)`` to ``(id, copy, bands)``: copy hashes the whole text (null for
-    null), bands are the keys."""
+def sketches(whole: DataFrame, bands: int = BANDS, size: int = BAND_LABELS, least: float = SIMILARITY) -> DataFrame:
+    """``whole(id, text)`` to ``(id, copy, bands, parts, codes)``: copy hashes the whole text
+    (null for null), bands are the keys, parts and their codes are those of a short text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
@@ -152,12 +192,20 @@ def sketches(whole: DataFrame, bands: int = BANDS, size: int = BAND_LABELS) -> D
             for part in steps(batch):
                 ids, texts = part.column(0), part.column(1).to_pylist()
                 copies = [None if t is None else xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
-                keys = [None if t is None else bands_of(labels_of(t, known), bands, size).tolist() for t in texts]
+                keys, parts, codes = [], [], []
+                for t in texts:
+                    labels = labels_of(t or "", known)
+                    keys.append(None if t is None else bands_of(labels, bands, size).tolist())
+                    part_keys, part_codes = parts_of(labels, least)
+                    parts.append(part_keys)
+                    codes.append(part_codes)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(copies, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "copy", "bands"]
+                    [ids, pa.array(copies, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
+                     pa.array(parts, pa.list_(pa.int64())), pa.array(codes, pa.list_(pa.int32()))],
+                    ["id", "copy", "bands", "parts", "codes"],
                 )
 
-    return whole.mapInArrow(run, "id long, copy binary, bands array<long>")
+    return whole.mapInArrow(run, "id long, copy binary, bands array<long>, parts array<long>, codes array<int>")
 
 
 def _labelled(texts: DataFrame) -> DataFrame:
@@ -281,18 +329,26 @@ def near_duplicates(
     """
     ws = Workspace(docs.sparkSession, "near-dup")
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    all_rows = ws.table(sketches(whole, bands, size), "sketches")
+    all_rows = ws.table(sketches(whole, bands, size, least), "sketches")
     # Equal texts: one representative each.  Rows with null text stand alone.
     # A table of its own: a text of very many copies can then be split in the joins with it.
     copies = ws.table(all_rows.where("copy is not null").groupBy("copy").agg(F.min("id").alias("rep")), "copies")
-    reps = all_rows.select("id", "bands").join(copies.select(F.col("rep").alias("id")), "id", "left_semi")
+    reps = all_rows.select("id", "bands", "parts", "codes").join(copies.select(F.col("rep").alias("id")), "id", "left_semi")
     keys = reps.select("id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low")
     rows = ws.table(keys.join(shared, "key").select("id", "key", "low"), "buckets")
+    # Parts of short texts: each member meets the one that lacks least.
+    posted = reps.select("id", F.explode(F.arrays_zip("parts", "codes")).alias("part")).select("id", F.col("part.parts").alias("key"), F.col("part.codes").alias("code"))
+    fewest = posted.groupBy("key").agg(F.min(F.struct("code", "id")).alias("top"), F.count("*").alias("n")).where("n > 1")
+    short = ws.table(
+        posted.join(fewest.select("key", "top"), "key").where("id <> top.id and floor(top.code / 8) <= code % 8")
+        .select(F.greatest("id", "top.id").alias("a"), F.least("id", "top.id").alias("b")).distinct(), "short",
+    )
     # Only texts that share a bucket are needed again; this shuffles texts, once.
-    needed = all_rows.select("id", "bands").join(rows.select("id").distinct(), "id", "left_semi")
+    shares = rows.select("id").union(short.select("a")).union(short.select("b")).distinct()
+    needed = all_rows.select("id", "bands").join(shares, "id", "left_semi")
     labels = ws.table(_labelled(whole.join(needed, "id")), "labels")
-    pairs = rows.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+    pairs = rows.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).union(short).distinct()
     links = ws.table(_verified(pairs, labels, least), "links")
     components = connected_components(ws, links)
     # Buckets that still hold several components.

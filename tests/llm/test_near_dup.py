@@ -31,6 +31,32 @@ def test_brute_force(spark, docs, texts):
     assert got == brute(texts)
 
 
+def test_short_texts_that_differ_at_an_end(spark):
+    random.seed(11)
+    texts, k = {}, 0
+    for n_words in range(5, 18):
+        for _ in range(12):
+            words = [f"v{random.randrange(10**6)}" for _ in range(n_words)]
+            for near in (words, [*words, "end"], ["start", *words], [*words[1:], "other"], ["start", *words, "end"], words[2:]):
+                texts[k] = " ".join(near)
+                k += 1
+    texts |= {k + j: "a line of eight words that many share " + f"z{j}" for j in range(300)}  # 9 words, no link between two
+    texts |= {k + 300: "a line of eight words that many share", k + 301: "another line of nine words that few share now"}
+    want = brute(texts)
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want and len({want[k + j] for j in range(301)}) == 1
+
+
+def test_nine_against_ten_words(spark):
+    random.seed(12)
+    texts = {}
+    for k in range(3000):
+        words = [f"v{random.randrange(10**6)}" for _ in range(10)]
+        texts[2 * k], texts[2 * k + 1] = " ".join(words[:9]), " ".join(words)
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {k: k // 2 * 2 for k in texts}
+
+
 def test_group_of_near_copies(spark):
     random.seed(5)
     base = [f"w{random.randrange(9999)}" for _ in range(300)]
