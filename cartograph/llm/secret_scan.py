@@ -5,7 +5,8 @@ that a key could be made of is scored by two character Markov models of order 1,
 random strings and one of ordinary identifiers; the run is a span of kind ``markov`` if its
 log-likelihood ratio passes the threshold.  Labelled samples train the models: runs of the
 corpus that a base pattern covers, and digests of numbers in usual encodings, are random;
-all other runs of 6 or more such characters in the sampled documents are ordinary.
+all other runs of 6 or more such characters are ordinary.  All documents are read, each
+different run counts once, and the counts are bounded by the alphabet (69 ** 2 a label).
 
 Offsets are code points.  They come from the parts between matches, as split by the same
 pattern that extracts the matches.  All of it is DataFrame expressions, without a shuffle
@@ -32,8 +33,6 @@ KINDS = ("assign", "access", "hex", "markov")
 RUN = r"[A-Za-z0-9+/_=-]{16,}+"
 TRAIN_RUN = r"[A-Za-z0-9+/_=-]{6,}+"
 ALPHABET = Alphabet("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
-#: Documents that the fit reads at most, those whose id hashes lowest.
-FIT_DOCUMENTS = 3000
 #: Strings made from digests of numbers, of each encoding.
 FIT_STRINGS = 1000
 #: Log-odds that a run must show for itself, in nats: random runs are rare.
@@ -58,11 +57,10 @@ def _spans(text: Column, pattern: str, kind: int, keep, group: int = 0) -> Colum
     return F.when(text.rlike(pattern), F.aggregate(parts, start, turn, lambda s: s["found"])).otherwise(F.array().cast(_SPAN))
 
 
-def fit_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_documents: int = FIT_DOCUMENTS) -> list[float]:
+def fit_secrets(docs: DataFrame, text_col: str = "text") -> list[float]:
     """Table of log-likelihood ratios, random against ordinary."""
     spark = docs.sparkSession
-    ids = docs.select(F.col(id_col).alias("i")).where("i is not null").distinct().orderBy(F.xxhash64("i"), "i").limit(fit_documents)
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(ids), "i", "left_semi")
+    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("t"))
     marked = texts.select(F.regexp_replace("t", ASSIGN, " $1 \u0001$2 ").alias("t"))
     runs = marked.select(F.explode(F.regexp_extract_all("t", F.lit("\u0001?" + TRAIN_RUN), 0)).alias("run")).distinct()
     value = F.regexp_replace("run", "^\u0001", "")

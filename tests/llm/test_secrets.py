@@ -50,6 +50,15 @@ def test_models_tell_random_from_ordinary(spark, docs):
     assert len(words) > 20 and [r["s"] for r in rows] == ["markov:4:28", "markov:0:32", "", ""]
 
 
+def test_fit_reads_all_documents(spark):
+    schema = "doc_id long, text string"
+    plain = "ordinary identifiers_of_code and another-kind token=Zx9Qp2Lm8Vt4Rk7Wb1Ns6"
+    rare = [(None if k == 7 else 10_000 + k, " ".join(f"XQ{hashlib.md5(f'{k} {j}'.encode()).hexdigest()[:5].upper()}-ZQ_VX" for j in range(30))) for k in range(20)]
+    many = spark.createDataFrame([(k, plain) for k in range(6000)] + rare, schema)
+    assert fit_secrets(many) == fit_secrets(spark.createDataFrame([(0, plain), *rare], schema))
+    assert fit_secrets(many) != fit_secrets(spark.createDataFrame([(0, plain), *rare[:10]], schema))
+
+
 def test_redaction(spark, docs):
     rows = spark.createDataFrame([(1, "a token=abcdefghijklmnop1 b", "x"), (2, "clean", None), (3, None, None), (4, "é deadbeefdeadbeef", "y")], "id long, text string, all_spans string")
     got = {r["id"]: (r["text"], r["all_spans"]) for r in redact(rows, fit_secrets(docs)).collect()}
