@@ -2,24 +2,30 @@
 
 Reference points (pivots) are chosen farthest-first from a bounded sample, so that a dense
 group of vectors holds one of them at most.  Every vector is described by its nearest pivots,
-in each of two sets of pivots that come from samples apart.  The inverted lists of the index
-are kept by triples of pivots of a set: a list holds the vectors of a label that have all
-three among their nearest, so two vectors meet exactly if they share at least three pivots of
-a set; what one set misses, the other one mostly finds.  Candidates are verified by cosine in
-double precision.  A pair that meets in several lists counts in one only, that of its three
-smallest shared pivots in the first set where it meets.
+in each of two or more sets of pivots that come from samples apart.  The inverted lists of
+the index are kept by triples of pivots of a set: a list holds the vectors of a label that
+have all three among their nearest, so two vectors meet exactly if they share at least three
+pivots of a set; what one set misses, another one mostly finds.  The number of pivots grows
+with the cube root of the largest label's rows, so that lists of unrelated vectors stay as
+short as the table grows.  Candidates are verified by cosine in double precision.  A pair
+that meets in several lists counts in one only, that of its three smallest shared pivots in
+the first set where it meets.
 
-Equal vectors of a label meet in one class first.  A long list is cut into blocks, and every
-two blocks are compared in a task of their own.  No pair is written: a list gives each of its
-vectors the number of its links and the smallest vector of its group in the list.
+Equal vectors of a label meet in one class first, which has a key of its own: ids are carried
+along and name nothing.  A long list is cut into blocks, and every two blocks are compared in
+a task of their own.  No pair is written: a list gives each of its classes the number of its
+links and the smallest key of its group in the list.
 
 Defined results: a vector that is null, zero or holds null or non-finite components, or whose
 label is null, links with nothing; so do vectors of different lengths.  Rows that repeat an
-id are vectors of their own that share it.  A row without id has no component.
+id are vectors of their own that share it.  A row without id has no component.  A component
+is named by the smallest id of its rows.  An empty table gives no rows; other columns are
+ignored whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,14 +39,19 @@ from .common import Workspace, connected_components
 LEAST = 0.93
 #: Vectors that the pivots of a set are chosen from at most, of those whose id hashes lowest.
 FIT_VECTORS = 4096
-PIVOTS = 512
-NEAREST = 6
+#: Pivots of a set, at least and at most (12 bits of a key each).
+FEWEST, MOST = 256, 4096
+NEAREST = 7
 SHARED = 3
-#: Independent sets of pivots; at most 4 fit in a key.
-SETS = 2
+#: Unrelated vectors of a label that a vector meets in a set, about.
+STRAY = 4
+#: Independent sets of pivots: few pivots lose fewer pairs.  At most 4 fit in a key.
+SETS, MORE_SETS, MORE_FROM = 2, 3, 1500
 #: Pivots are less alike than this.
 APART = 0.7
 BLOCK = 128
+#: Lists from this length on are compared as matrices.
+MATRIX = 24
 #: Pairs that are compared at once.
 AT_ONCE = 1 << 16
 
@@ -64,11 +75,16 @@ def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
     return sample[order]
 
 
-def fit_pivots(
-    vectors: DataFrame, vector_col: str, id_col: str, count: int = PIVOTS, fit_vectors: int = FIT_VECTORS, sets: int = SETS,
-) -> list[dict[int, np.ndarray]]:
+def pivot_count(rows: int, nearest: int = NEAREST) -> int:
+    """Pivots of a set for ``rows`` vectors of a label: two unrelated vectors share a triple with
+    probability C(nearest, 3) ** 2 / C(pivots, 3), so ``STRAY`` of them meet a vector."""
+    return int(min(MOST, max(FEWEST, (6 * math.comb(nearest, 3) ** 2 * rows / STRAY) ** (1 / 3))))
+
+
+def fit_pivots(classes: DataFrame, count: int, sets: int, fit_vectors: int = FIT_VECTORS) -> list[dict[int, np.ndarray]]:
     """Sets of pivots by length of vector, from a bounded sample that is dealt to the sets."""
-    rows = vectors.orderBy(F.xxhash64(id_col), id_col).limit(fit_vectors * sets).select(vector_col).collect()
+    mark = F.xxhash64("rep", "label", "vector")
+    rows = classes.select("vector", mark.alias("mark")).orderBy("mark").limit(fit_vectors * sets).select("vector").collect()
     by_size: dict[int, list] = {}
     for r in rows:
         by_size.setdefault(len(r[0]), []).append(r[0])
@@ -82,70 +98,89 @@ def _pivots_of(pivots: dict[int, np.ndarray], size: int) -> np.ndarray:
     return pivots[size]
 
 
+def _rows_of(column: pa.Array, at: np.ndarray, size: int) -> np.ndarray:
+    """Rows ``at`` of a list column, all of ``size`` numbers, as doubles."""
+    return column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), size).astype(float)
+
+
 def describe(classes: DataFrame, pivots: list[dict[int, np.ndarray]], nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
-    """``classes(rep, label, vector, n)`` with ``near`` (of each set the nearest pivots, ascending,
+    """``classes(vec, label, vector, n)`` with ``near`` (of each set the nearest pivots, ascending,
     and -1 where it has fewer) and ``keys``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(2).to_pylist()
-            labels = np.array(batch.column(1).to_pylist(), dtype=np.int64)
-            sizes = np.array([len(r) for r in rows])
-            near: list = [None] * len(rows)
-            keys: list = [None] * len(rows)
+            column = batch.column(2)
+            labels = batch.column(1).to_numpy().astype(np.int64)
+            sizes = np.diff(np.asarray(column.offsets))
+            near: list = [None] * len(labels)
+            keys: list = [None] * len(labels)
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                unit = _unit(np.array([rows[k] for k in at], dtype=float))
+                unit = _unit(_rows_of(column, at, int(size)))
                 base = (labels[at] * 1_000_003 + size) % (1 << 24)
                 tops, codes = [], []
                 for number, some in enumerate(pivots):
                     points = _pivots_of(some, int(size))
                     width = min(nearest, len(points))
-                    top = np.argsort(-(unit @ points.T), axis=1, kind="stable")[:, :width].astype(np.int64)
+                    cosine = unit @ points.T
+                    top = np.argpartition(-cosine, width - 1, axis=1)[:, :width].astype(np.int64)
                     top.sort(axis=1)
-                    sets = list(combinations(range(width), min(shared, width)))
-                    code = np.zeros((len(at), len(sets)), np.int64)
-                    for k, columns in enumerate(sets):
-                        for c in columns:
-                            code[:, k] = code[:, k] * 4096 + top[:, c]
+                    ways = np.array(list(combinations(range(width), min(shared, width))))
+                    code = np.zeros((len(at), len(ways)), np.int64)
+                    for c in range(ways.shape[1]):
+                        code = code * 4096 + top[:, ways[:, c]]
                     codes.append(code | (base * 4 + number)[:, None] << 36)
                     tops.append(np.pad(top, ((0, 0), (0, nearest - width)), constant_values=-1))
                 top, code = np.concatenate(tops, axis=1), np.concatenate(codes, axis=1)
                 for k, r in enumerate(at):
-                    near[r], keys[r] = top[k].tolist(), code[k].tolist()
+                    near[r], keys[r] = top[k], code[k]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(near, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
-                ["rep", "label", "vector", "n", "near", "keys"],
+                [*batch.columns, pa.array(near, pa.list_(pa.int16())), pa.array(keys, pa.list_(pa.int64()))],
+                ["vec", "label", "vector", "n", "near", "keys"],
             )
 
-    return classes.select("rep", "label", "vector", "n").mapInArrow(
-        run, "rep long, label long, vector array<double>, n long, near array<long>, keys array<long>"
+    kind = classes.schema["vector"].dataType.simpleString()
+    return classes.select("vec", "label", "vector", "n").mapInArrow(
+        run, f"vec long, label long, vector {kind}, n long, near array<smallint>, keys array<long>"
     )
 
 
+def _pairs(cut: np.ndarray, sizes: np.ndarray, side: np.ndarray, unit: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs ``i < j`` of rows of one list, those of long lists only if they are alike."""
+    for size in np.unique(sizes[sizes > 1]):
+        starts = cut[sizes == size]
+        if size < MATRIX:
+            i, j = np.triu_indices(size, 1)
+            each = max(1, AT_ONCE // len(i))
+            for at in range(0, len(starts), each):
+                some = starts[at : at + each, None]
+                yield (some + i).ravel(), (some + j).ravel()
+        else:
+            for start in starts:
+                for at in range(start, start + size, 512):
+                    i, j = np.nonzero(unit[at : min(at + 512, start + size)] @ unit[start : start + size].T >= least - 1e-9)
+                    i, j = i + at, j + start
+                    yield i[i < j], j[i < j]
+
+
 def _compare(rows: DataFrame, least: float, shared: int, nearest: int) -> DataFrame:
-    """Rows sorted by ``key, a, b`` to ``(rep, links, low)`` of each list."""
+    """Rows sorted by ``key, side`` to ``(vec, links, low)`` of each list."""
 
-    def links(code, side, own, rep, label, n, near, vector):
+    def links(code, side, own, vec, label, n, near, vector):
         """All pairs of one run of whole groups, in steps."""
-        if len(rep) < 2:
+        if len(vec) < 2:
             return None
         cut = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (side[1:] != side[:-1])])
-        ends = np.r_[cut[1:], len(rep)]
-        degree, low = np.zeros(len(rep), np.int64), rep.copy()
+        sizes = np.diff(np.r_[cut, len(vec)])
+        degree, low = np.zeros(len(vec), np.int64), vec.copy()
         unit = _unit(vector)
-        pairs_i, pairs_j, waiting = [], [], 0
         found_i, found_j = [], []
-
-        def flush():
-            nonlocal pairs_i, pairs_j, waiting
-            if not waiting:
-                return
-            i, j = np.concatenate(pairs_i), np.concatenate(pairs_j)
-            pairs_i, pairs_j, waiting = [], [], 0
-            # In two blocks, only pairs across; labels alike; this list is the pair's own.
+        for i, j in _pairs(cut, sizes, side, unit, least):
+            # In two blocks, only pairs across; labels alike; near; this list is the pair's own.
             ok = (label[i] == label[j]) & ((own[i] != own[j]) | (side[i] % 2 == 0))
             i, j = i[ok], j[ok]
+            ok = np.einsum("ij,ij->i", unit[i], unit[j]) >= least
+            i, j = i[ok], j[ok]
             for k in range(near.shape[1]):
                 number, top = code[i] >> 36 & 3, code[i] & 4095
                 a, b = near[i, k], near[j, k]
@@ -154,20 +189,8 @@ def _compare(rows: DataFrame, least: float, shared: int, nearest: int) -> DataFr
                 enough = np.minimum(shared, (a >= 0).sum(axis=1))
                 ok = (number < k) | np.where(number == k, both == enough, both < enough)
                 i, j = i[ok], j[ok]
-            ok = (unit[i] * unit[j]).sum(axis=1) >= least
-            found_i.append(i[ok]), found_j.append(j[ok])
-
-        for start, end in zip(cut, ends):
-            if end - start > 1:
-                i, j = np.triu_indices(end - start, 1)
-                pairs_i.append(i + start), pairs_j.append(j + start)
-                waiting += len(i)
-                if waiting >= AT_ONCE:
-                    flush()
-        flush()
-        if not found_i:
-            return None
-        i, j = np.concatenate(found_i), np.concatenate(found_j)
+            found_i.append(i), found_j.append(j)
+        i, j = (np.concatenate(x) if x else np.zeros(0, int) for x in (found_i, found_j))
         if not len(i):
             return None
         np.add.at(degree, i, n[j])
@@ -179,24 +202,24 @@ def _compare(rows: DataFrame, least: float, shared: int, nearest: int) -> DataFr
             if (low == before).all():
                 break
         keep = degree > 0
-        return pa.RecordBatch.from_arrays([pa.array(rep[keep]), pa.array(degree[keep]), pa.array(low[keep])], ["rep", "links", "low"])
+        return pa.RecordBatch.from_arrays([pa.array(vec[keep]), pa.array(degree[keep]), pa.array(low[keep])], ["vec", "links", "low"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def arrays(table):
             flat = table.column("vector").combine_chunks()
-            sizes = np.diff(flat.offsets.to_numpy())
+            near = table.column("near").combine_chunks()
+            sizes = np.diff(np.asarray(flat.offsets))
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                part = table.take(pa.array(at))
-                get = lambda c: part.column(c).to_numpy().astype(np.int64)  # noqa: E731, B023
-                wide = lambda c: part.column(c).combine_chunks().flatten().to_numpy()  # noqa: E731, B023
-                yield (get("key"), get("side"), get("own"), get("rep"), get("label"), get("n"),
-                       wide("near").reshape(len(at), -1, nearest).astype(np.int64), wide("vector").reshape(len(at), int(size)))
+                get = lambda c: table.column(c).to_numpy().astype(np.int64)[at]  # noqa: E731, B023
+                width = len(near[0])
+                yield (get("key"), get("side"), get("own"), get("vec"), get("label"), get("n"),
+                       _rows_of(near, at, width).reshape(len(at), -1, nearest).astype(np.int64), _rows_of(flat, at, int(size)))
 
         held = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                table = pa.Table.from_batches([batch.slice(at, 2048)])
+            for at in range(0, batch.num_rows, 4096):
+                table = pa.Table.from_batches([batch.slice(at, 4096)])
                 held = table if held is None else pa.concat_tables([held, table])
                 code, side = held.column("key").to_numpy(), held.column("side").to_numpy()
                 whole = np.flatnonzero((code != code[-1]) | (side != side[-1]))  # the last group may go on
@@ -210,45 +233,60 @@ def _compare(rows: DataFrame, least: float, shared: int, nearest: int) -> DataFr
                 if (out := links(*args)) is not None:
                     yield out
 
-    return rows.select("key", "side", "own", "rep", "label", "n", "near", "vector").mapInArrow(run, "rep long, links long, low long")
+    return rows.select("key", "side", "own", "vec", "label", "n", "near", "vector").mapInArrow(run, "vec long, links long, low long")
 
 
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-    least: float = LEAST, pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED, sets: int = SETS,
+    least: float = LEAST, pivots: int | None = None, nearest: int = NEAREST, shared: int = SHARED, sets: int | None = None,
 ) -> DataFrame:
-    """``(id_col, n_links, component_id, kept)``: a row a vector."""
+    """``(id_col, n_links, component_id, kept)``: a row a vector.
+
+    ``pivots`` and ``sets`` follow the number of rows unless they are given.
+    """
     ws = Workspace(vectors.sparkSession, "pivots")
-    rows = vectors.select(
-        F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("vector")
-    )
+    vector = F.col(f"`{vector_col}`")
+    if vectors.schema[vector_col].dataType.simpleString() != "array<float>":  # floats move as floats
+        vector = vector.cast("array<double>")
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("long").alias("label"), vector.alias("vector"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     usable = F.coalesce(
         F.col("id").isNotNull() & F.col("label").isNotNull() & F.forall("vector", finite) & F.exists("vector", lambda x: x != 0), F.lit(False)
     )
     good = rows.where(usable)
-    classes = ws.table(good.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
-    points = fit_pivots(classes, "vector", "rep", min(pivots, 4096), sets=sets)
+    # A class is named by its row in this table; written, the names stay.
+    classes = ws.table(
+        good.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+        .select(F.monotonically_increasing_id().alias("vec"), "label", "vector", "rep", "n"), "classes",
+    )
+    if pivots is None:
+        most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+        pivots = pivot_count(most, nearest)
+    points = fit_pivots(classes, min(pivots, MOST), sets or (MORE_SETS if pivots >= MORE_FROM else SETS))
     index = ws.table(describe(classes, points, nearest, shared), "index")
-    posted = index.select("rep", "label", F.explode("keys").alias("key"))
+    posted = index.select("vec", F.explode("keys").alias("key"))
     lists = posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     entries = posted.join(lists, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    entries = entries.withColumn("own", F.pmod(F.xxhash64("rep", "label"), F.col("blocks")).cast("int"))
+    entries = entries.withColumn("own", F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int"))
     # One group for each two blocks; even sides are a block with itself.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     entries = entries.withColumn("other", other).withColumn(
         "side", (F.least("own", "other").cast("long") * F.col("blocks") + F.greatest("own", "other")) * 2 + (F.col("own") != F.col("other")).cast("int")
-    ).select("key", "side", "own", "rep", "label")
-    full = entries.join(index.select("rep", "label", "vector", "n", "near"), ["rep", "label"])
-    dealt = full.repartition("key", "side").sortWithinPartitions("key", "side", "rep")
+    ).select("key", "side", "own", "vec")
+    full = entries.join(index.select("vec", "label", "vector", "n", "near"), "vec")
+    dealt = full.repartition("key", "side").sortWithinPartitions("key", "side")
     found = ws.table(_compare(dealt, least, shared, nearest), "links")
-    degrees = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    components = connected_components(ws, found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    named = (
-        classes.select("label", "vector", "rep", "n").join(degrees, "rep", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    degrees = found.groupBy("vec").agg(F.sum("links").alias("links"))
+    components = connected_components(ws, found.select(F.col("vec").alias("a"), F.col("low").alias("b")))
+    group = F.coalesce("component", "vec")
+    grouped = ws.table(
+        classes.select("vec", "label", "rep", "n").join(degrees, "vec", "left").join(components.withColumnRenamed("id", "vec"), "vec", "left")
+        .select("vec", "rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), group.alias("component")), "groups",
     )
-    linked = good.join(named, ["label", "vector"]).select("id", "n_links", "component_id")
+    # A table of its own: a component of very many classes can then be split in the join with it.
+    named = ws.table(grouped.groupBy("component").agg(F.min("rep").alias("component_id")), "components")
+    known = grouped.join(named, "component").select("vec", "n_links", "component_id").join(classes.select("vec", "label", "vector"), "vec").drop("vec")
+    linked = good.join(known, ["label", "vector"]).select("id", "n_links", "component_id")
     alone = rows.where(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.union(alone).select(
         F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
