@@ -149,7 +149,7 @@ def _positions(base: DataFrame, sources: DataFrame, ws: Workspace, others: list[
         equal["*"], "s", "source_size", "target", F.pmod("mark", "chunks").alias("chunk"), (F.col("size") * F.col("n")).alias("words")
     )
     dealt = ws.table(dealt, "dealt")
-    sums = ws.table(dealt.groupBy("s", "chunk").agg(F.sum("words").alias("words")), "sums")
+    sums = dealt.groupBy("s", "chunk").agg(F.sum("words").alias("words"))
     inside = Window.partitionBy("s", "chunk").orderBy("mark", "id", "size", *others).rowsBetween(Window.unboundedPreceding, -1)
     own = dealt.withColumn("own", F.coalesce(F.sum("words").over(inside), F.lit(0)))
     return own.join(_before(sums, "chunk", "words"), ["s", "chunk"]).withColumn("begin", F.col("first") + F.col("own")).drop("chunk", "words", "first", "own")
@@ -171,14 +171,16 @@ def _draws(spark, rows: list[dict], ws: Workspace, block: int, seed: int) -> Dat
     tasks = max(spark.sparkContext.defaultParallelism, slots // SLOTS_A_TASK)
 
     def drawn(shard: Column) -> Column:
-        """The sources that the slots of a shard draw, ascending, with their slots."""
+        """What the slots of a shard draw, by source: ``source * SHARD_SLOTS + slot``."""
         last = F.least(F.lit(SHARD_SLOTS), F.lit(slots) - shard * SHARD_SLOTS).cast("int") - 1
         image = lambda i: F.pmod(F.xxhash64(F.lit(seed).cast("long"), shard, i), F.lit(max(slots, 1)).cast("long"))
-        return F.array_sort(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(_interval(image(i), starts or [0]).alias("s"), i.alias("slot"))))
+        return F.sort_array(F.transform(F.sequence(F.lit(0), last), lambda i: _interval(image(i), starts or [0]).cast("long") * SHARD_SLOTS + i))
+
+    source = lambda d: F.floor(d / SHARD_SLOTS).cast("int")
 
     first = spark.range(0, shards, 1, max(1, min(tasks, shards))).select(F.col("id").alias("shard"))
     counts = ws.table(
-        first.select("shard", F.explode(drawn(F.col("shard"))).alias("d")).groupBy("shard", F.col("d.s").alias("s")).agg(F.count("*").alias("n")), "counts"
+        first.select("shard", F.explode(drawn(F.col("shard"))).alias("d")).groupBy("shard", source(F.col("d")).alias("s")).agg(F.count("*").alias("n")), "counts"
     )
     total = {r["s"]: r["n"] for r in counts.groupBy("s").agg(F.sum("n").alias("n")).collect()}
     total = [total.get(k, 0) for k in range(len(rows))]
@@ -204,7 +206,7 @@ def _draws(spark, rows: list[dict], ws: Workspace, block: int, seed: int) -> Dat
     )
     numbered = (
         offsets.repartition(max(1, min(tasks, shards)), "shard").select("shard", "offsets", F.posexplode(drawn(F.col("shard"))).alias("at", "d"))
-        .select("shard", F.col("d.slot").alias("slot"), F.col("d.s").alias("s"), (F.col("at") + F.col("offsets")[F.col("d.s")]).alias("draw"))
+        .select("shard", F.pmod("d", F.lit(SHARD_SLOTS)).cast("int").alias("slot"), source(F.col("d")).alias("s"), (F.col("at") + F.col("offsets")[source(F.col("d"))]).alias("draw"))
         .join(quotas, "s")
     )
     rank = F.when(F.col("draw") >= F.col("quota"), F.col("over_at") + F.col("draw") - F.col("quota"))
