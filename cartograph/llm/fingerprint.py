@@ -1,7 +1,8 @@
 """Document fingerprints by Order MinHash, in column expressions.
 
-The words of a text form 5-grams; a 5-gram is labelled with its occurrence number, so that
-all labels of a text differ.  Labels fall into 64 slots by hash.  In each slot the two labels
+The words of a text form 5-grams; in scripts without spaces between words every character is
+a word (see ``scripts``).  A 5-gram is labelled with its occurrence number, so that all labels
+of a text differ.  Labels fall into 64 slots by hash.  In each slot the two labels
 of smallest hash are kept, put in text order and hashed as a tuple.  A signature has a value
 for each slot that a label fell into; two texts agree in a slot only if they share its
 minimal labels in the same order, which makes the signature sensitive to edit distance, not
@@ -11,24 +12,31 @@ A fingerprint is the signature in hexadecimal, 8 digits a slot: equal texts have
 
 Defined results: a null text is empty; an empty text has one label, of the empty word, so
 empty texts are alike; a text of under five words is one label.  Positions count modulo
-2 ** 24, beyond which only the order inside a tuple is affected.
+2 ** 24, beyond which only the order inside a tuple is affected.  Repeated rows each keep
+their row; rows of one id stand in an order of hashes of their texts, and rows without id
+come last.  An empty table gives no rows; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scripts import UNSPACED_JAVA
+
 GAP = r"[\x20\x09-\x0D]+"
 WORDS = 5
 SLOT_BITS = 6
 POSITION = (1 << 24) - 1
-#: Rows of one range of ids, about, and ranges at most; see :func:`with_next`.
+#: Rows of one range of ids, about, ranges at most (larger ones beyond that) and rows of a
+#: range that are sampled for its cut, about; see :func:`with_next`.
 RANGE_ROWS = 64
-RANGES = 16384
+RANGES = 1 << 17
+RANGE_SAMPLE = 16
 
 
 def _same(a: Column, i: Column, x: Column) -> Column:
@@ -43,8 +51,10 @@ def _slot(x: Column) -> Column:
 def with_signature(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
     """``df`` with ``out_col``, an array of longs.  Steps are columns of their own, so that
     each array is made once and lambdas refer to it."""
-    words = F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), GAP, -1)
-    df = df.withColumn("__w", F.transform(words, lambda w: F.xxhash64(w)))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    unspaced = (F.octet_length(text) > F.length(text)) & text.rlike(UNSPACED_JAVA)
+    apart = F.when(unspaced, F.regexp_replace(text, f"({UNSPACED_JAVA})", " $1 ")).otherwise(text)
+    df = df.withColumn("__w", F.transform(F.split(apart, GAP, -1), lambda w: F.xxhash64(w)))
     gram = lambda x, i: F.xxhash64(x, *[F.get(F.col("__w"), i + k) for k in range(1, WORDS)])
     keep = F.lit(~POSITION).cast("long")
     packed = lambda h, i: h.bitwiseAND(keep).bitwiseOR(i.cast("long").bitwiseAND(F.lit(POSITION)))
@@ -97,43 +107,50 @@ def likeness(a: Column, b: Column) -> Column:
 
 def with_next(df: DataFrame, id_col: str, columns: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """``df`` with ``next_*``: ``columns`` of the row of the next lower id (the highest, after
-    the lowest).  Null ids come last; rows of one id are ordered by a hash of the columns.
+    the lowest).  Null ids come last; rows of one id are ordered by a hash of ``columns[0]``.
 
-    Ids are cut into ranges by their quantiles; the first row of a range is sent to the range
-    above as well, so one shuffle by range and one window inside ranges do it.
+    Ids are cut into ranges by quantiles of a sample; the first row of a range is sent to the
+    range above as well, so one shuffle by range and one window inside ranges do it.  An id
+    (or null) that fills several ranges is cut further by the hash.
     """
     key = F.col(id_col)
     rows = df.select(key.alias("i"))
-    count = rows.count()
+    count, nulls = rows.agg(F.count("*"), F.count_if(F.col("i").isNull())).first()
     ranges = max(1, min(RANGES, count // range_rows))
-    cuts = rows.agg(F.percentile_approx("i", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] if ranges > 1 else []
-    cuts = sorted(set(cuts or []))
-    fixed = F.from_json(F.lit(json.dumps(cuts)), "array<bigint>")
-    powers = F.from_json(F.lit(json.dumps([1 << k for k in reversed(range(max(1, math.ceil(math.log2(len(cuts) + 1)))))])), "array<int>")
-
-    def where(k: Column) -> Column:
-        """Number of cuts that are not above ``k``, by halving."""
-        found = F.aggregate(powers, F.lit(0), lambda low, step: F.when(F.get(fixed, low + step - 1) <= k, low + step).otherwise(low))
-        return F.coalesce(found, F.lit(0))
-
-    placed = df.withColumn("__range", where(key)).withColumn("__mark", F.xxhash64(*[F.col(c) for c in columns]))
-    # One row a range: at most RANGES of them, a proven bound.
-    heads = rows.withColumn("__range", where(F.col("i"))).groupBy("__range").agg(F.max("i").alias("__head"))
-    order = Window.orderBy(F.desc("__range"))
+    cuts: list[int] = []
+    if ranges > 1 and count > nulls:
+        share = min(1.0, ranges * RANGE_SAMPLE / count)
+        sample = rows if share == 1 else rows.sample(share, 7)
+        cuts = sample.agg(F.percentile_approx("i", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] or []
+    times = Counter(cuts)
+    heavy = {i: n for i, n in times.items() if n > 1}
+    cuts = sorted({*times, *(i + 1 for i in heavy)})
+    # Of range 0 (null ids), 1 (below the first cut) and so on: the parts that it is cut into.
+    parts = [max(1, nulls * ranges // max(count, 1)), 1, *(heavy.get(i, 1) for i in cuts)]
+    constant = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+    powers = constant([1 << k for k in reversed(range(max(1, math.ceil(math.log2(len(cuts) + 1)))))], "int")
+    # Without a heavy id the texts are not read here.
+    mark = F.xxhash64(columns[0]) if max(parts) > 1 else F.lit(0).cast("long")
+    by_cut = F.aggregate(powers, F.lit(1), lambda low, step: F.when(F.get(constant(cuts, "bigint"), low + step - 2) <= key, low + step).otherwise(low))
+    placed = df.withColumn("__cut", F.when(key.isNull(), F.lit(0)).otherwise(by_cut)).withColumn("__parts", F.get(constant(parts, "int"), F.col("__cut")))
+    placed = placed.withColumn("__heavy", F.when(F.col("__parts") > 1, mark).otherwise(F.lit(0).cast("long")))
+    part = F.least(F.floor((F.col("__heavy") / F.lit(2.0**64) + 0.5) * F.col("__parts")), F.col("__parts") - 1)
+    placed = placed.withColumn("__range", F.col("__cut") * F.lit(1 << 20).cast("long") + F.when(F.col("__parts") > 1, part).otherwise(F.lit(0)))
+    # One row a range: about twice RANGES at most.
+    heads = placed.groupBy("__range").agg(F.max(F.struct(F.coalesce(key, F.lit(0)).alias("i"), F.col("__heavy").alias("m"))).alias("__head"))
     lowest = heads.agg(F.min("__range")).first()[0] or 0
-    heads = heads.withColumn("__above", F.coalesce(F.lag("__range").over(order), F.lit(lowest)))
-    heads = heads.select(F.col("__range").alias("__r"), "__head", "__above")
-    # The id alone names the head: its range follows from it.
-    joined = placed.join(F.broadcast(heads), key.eqNullSafe(F.col("__head")), "left")
-    copies = F.when(
-        F.col("__r").isNotNull(),
-        F.array(F.struct(F.col("__range").alias("r"), F.lit(0).alias("g")), F.struct(F.col("__above").alias("r"), F.lit(1).alias("g"))),
-    ).otherwise(F.array(F.struct(F.col("__range").alias("r"), F.lit(0).alias("g"))))
-    sent = joined.withColumn("__at", F.explode(copies)).withColumn("__range", F.col("__at.r")).withColumn("__ghost", F.col("__at.g"))
+    above = F.coalesce(F.lag("__range").over(Window.orderBy(F.desc("__range"))), F.lit(lowest))
+    heads = heads.withColumn("__above", above).select(F.col("__range").alias("__r"), F.col("__head.i").alias("__i"), F.col("__head.m").alias("__m"), "__above")
+    first = (F.col("__range") == F.col("__r")) & (F.coalesce(key, F.lit(0)) == F.col("__i")) & (F.col("__heavy") == F.col("__m"))
+    joined = placed.join(F.broadcast(heads), first, "left")
+    own, ghost = F.struct(F.col("__range").alias("r"), F.lit(0).alias("g")), F.struct(F.col("__above").alias("r"), F.lit(1).alias("g"))
+    sent = joined.withColumn("__at", F.explode(F.when(F.col("__r").isNotNull(), F.array(own, ghost)).otherwise(F.array(own))))
+    sent = sent.withColumn("__range", F.col("__at.r")).withColumn("__ghost", F.col("__at.g")).withColumn("__mark", F.xxhash64(columns[0]))
     inside = Window.partitionBy("__range").orderBy("__ghost", F.desc_nulls_last(id_col), F.desc("__mark"))
     for c in columns:
         sent = sent.withColumn(f"next_{c}", F.lead(c).over(inside))
-    return sent.where("__ghost = 0").drop("__range", "__mark", "__r", "__head", "__above", "__at", "__ghost")
+    made = [c for c in sent.columns if c.startswith("__")]
+    return sent.where("__ghost = 0").drop(*made)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -53,6 +53,29 @@ def test_next_row_over_ranges(spark):
         assert got == {3 * k: str((k - 1) % n) for k in range(n)}
 
 
+def test_heavy_ids_fill_several_ranges(spark):
+    """A third of the rows without id, a third of one id: still in the order of id and hash."""
+    rows = [(None if k % 3 == 0 else 50 if k % 3 == 1 else k, f"text {k}") for k in range(600)]
+    df = spark.createDataFrame(rows, "i long, v string")
+    marked = sorted(((r["i"] is not None, r["i"] or 0, r["m"], r["v"]) for r in df.withColumn("m", F.xxhash64("v")).collect()), reverse=True)
+    want = {r[3]: marked[(k + 1) % 600][3] for k, r in enumerate(marked)}
+    out = with_next(df, "i", ["v"], range_rows=9)
+    assert {r["v"]: r["next_v"] for r in out.collect()} == want
+
+
+def test_text_without_spaces(spark):
+    """Two thousand characters without a space, one of them changed."""
+    texts = []
+    for low, high in ((0x4E00, 0x9FA0), (0x3041, 0x3097), (0x0E01, 0x0E2F)):
+        base = [chr(low + hashlib.md5(f"{low} {k}".encode()).digest()[0] * 131 % (high - low)) for k in range(2000)]
+        texts += ["".join(base), "".join(base[:700] + ["x"] + base[701:]), "".join(reversed(base))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["signature"] for r in fingerprints(df).collect()}
+    same = lambda a, b: len(set(rows[a]) & set(rows[b])) / len({v >> 24 for v in (*rows[a], *rows[b])})
+    for k in (0, 3, 6):
+        assert len(rows[k]) > 50 and same(k, k + 1) > 0.9 and same(k, k + 2) < 0.1
+
+
 def test_odd_rows(odd, none):
     rows = edit_fingerprints(odd).collect()
     assert len(rows) == 10 and {r["doc_id"]: r["edited_sha256"] for r in rows} == edited({r["doc_id"]: r["text"] for r in odd.collect()})
