@@ -20,9 +20,21 @@ components.  So no pair of a bucket is left open, and nothing is capped; pairs i
 component, as in a group of many near copies, are not made.  Members of a part meet the one
 that lacks fewest labels beside it: whoever links with another by that part links with it.
 
+Large buckets of many components arise from passages that many texts share.  Their members
+are not crossed but dealt anew by rare labels: of texts of n labels with similarity t, each
+has one of the other's among its n - ceil(t n) + 1 rarest.  So every pair that can link meets
+in the bucket of such a label, where the same steps follow.
+
+Words are runs without white space, single characters in scripts without spaces (see
+``scripts``).  Rows have numbers of their own while the operator works, so a repeated id is
+no more than a repeated id.
+
 Defined results: a null text links with nothing; empty texts equal each other, and so do
 texts of equal words and white space only if they are equal strings or align fully; a text
-of under five words is one 5-gram of its words.  Ties go to the smallest id.
+of under five words is one 5-gram of its words.  The class is named by its smallest id (null
+if it has none), and of each class one row is kept, that of smallest id, null ids last.
+Repeated rows are copies of each other.  An empty table gives no rows.  Very long texts are
+read whole.  Columns that the caller names do not clash with those made here.
 """
 
 from __future__ import annotations
@@ -35,11 +47,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import steps
 from .common import Workspace, connected_components
+from .scripts import words_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -49,8 +62,9 @@ BANDS = 28
 BAND_LABELS = 5
 #: Parts of a short text at most; a text that would have more is not short.  At 0.8, 14 labels have 106.
 PARTS = 128
-#: Members of a bucket in one block, about.
+#: Members of a bucket in one block, about, and of a bucket that is dealt anew by rare labels.
 BLOCK = 192
+LARGE = 4 * BLOCK
 
 
 _MIX1, _MIX2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -74,7 +88,7 @@ class _WordHashes(dict):
 
 def labels_of(text: str, known: _WordHashes, words: int = WORDS) -> np.ndarray:
     """Hashes of the occurrence-numbered word n-grams of ``text``, in text order."""
-    found = text.split()
+    found = words_of(text)
     h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
     if len(h) == 0:
         return h
@@ -251,8 +265,9 @@ def _across(rows: DataFrame, labels: DataFrame, least: float) -> DataFrame:
 
     ``rows(id, key, component, main, minor, total)``.  Members outside the main component are
     queries, all members are answers; either are cut into blocks, and a task compares one
-    block of queries with one of answers.  A pair that shares several buckets is compared in
-    the first one only, and not at all once links of the task have joined its components.
+    block of queries with one of answers.  A pair that shares several buckets, by the keys in
+    ``bands``, is compared in that of the smallest key only, and not at all once links of the
+    task have joined its components.
     """
     query = F.col("component") != F.col("main")
     answers, queries = F.ceil(F.col("total") / BLOCK).cast("int"), F.ceil(F.col("minor") / BLOCK).cast("int")
@@ -274,8 +289,7 @@ def _across(rows: DataFrame, labels: DataFrame, least: float) -> DataFrame:
         if not asked or not given:
             return []
         key = np.int64(group[0][0])
-        qb, ab = np.stack([r[6] for r in asked]).view(np.int64), np.stack([r[6] for r in given]).view(np.int64)
-        band = int((qb[0] == key).argmax())
+        lower = [frozenset((keys := r[6].view(np.int64))[keys < key].tolist()) for r in given]
         sizes_q, sizes_a = np.array([len(r[7]) for r in asked]), np.array([len(r[7]) for r in given])
         joined: dict[int, int] = {}
 
@@ -290,12 +304,12 @@ def _across(rows: DataFrame, labels: DataFrame, least: float) -> DataFrame:
         for k, r in enumerate(asked):
             mine = (comps_a != r[4]) & (~minor_a | (ids_a < r[3]))
             mine &= np.minimum(sizes_a, sizes_q[k]) >= least * np.maximum(sizes_a, sizes_q[k])
-            if band:
-                mine &= ~(ab[:, :band] == qb[k, :band]).any(axis=1)
+            own = r[6].view(np.int64)
+            own = frozenset(own[own < key].tolist())
             for x in np.flatnonzero(mine):
                 g = given[x]
                 one, two = root(r[4]), root(g[4])
-                if one != two and aligned_similarity(r[7], g[7], least) >= least:
+                if one != two and own.isdisjoint(lower[x]) and aligned_similarity(r[7], g[7], least) >= least:
                     joined[max(one, two)] = min(one, two)
                     out.append((max(r[3], g[3]), min(r[3], g[3])))
         return out
@@ -318,25 +332,29 @@ def _across(rows: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY,
-    bands: int = BANDS, size: int = BAND_LABELS,
-) -> DataFrame:
-    """``(id_col, class_id, n_class, kept)``: one row per document, null ids left out.
+def _rare(labels: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """``(id, key)``: the labels of ``members`` by which any two that can link must meet, those of
+    their rarest that another member has too."""
+    own = labels.join(members, "id", "left_semi").select("id", F.size("labels").alias("n"), F.explode("labels").alias("key"))
+    often = own.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+    shared = own.join(often, "key")
+    place = Window.partitionBy("id").orderBy("often", "key")
+    reach = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
+    # Labels of one text only are the rarest; they take places, but nobody meets there.
+    counted = shared.groupBy("id").agg(F.count("*").alias("found"))
+    ranked = shared.withColumn("place", F.row_number().over(place)).join(counted, "id")
+    return ranked.where(F.col("place") <= reach - (F.col("n") - F.col("found"))).select("id", "key")
 
-    ``class_id`` is the smallest id of the component of linked texts, ``n_class`` its number
-    of documents, ``kept`` marks the one document that stays.
-    """
-    ws = Workspace(docs.sparkSession, "near-dup")
-    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+
+def _classes(ws: Workspace, rows: DataFrame, least: float, bands: int, size: int) -> DataFrame:
+    """``rows(row, text)`` to ``(row, class)``: the smallest row of the component of each row."""
+    whole = rows.select(F.col("row").alias("id"), "text")
     all_rows = ws.table(sketches(whole, bands, size, least), "sketches")
     # Equal texts: one representative each.  Rows with null text stand alone.
     # A table of its own: a text of very many copies can then be split in the joins with it.
     copies = ws.table(all_rows.where("copy is not null").groupBy("copy").agg(F.min("id").alias("rep")), "copies")
     reps = all_rows.select("id", "bands", "parts", "codes").join(copies.select(F.col("rep").alias("id")), "id", "left_semi")
-    keys = reps.select("id", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low")
-    rows = ws.table(keys.join(shared, "key").select("id", "key", "low"), "buckets")
+    buckets = _buckets(ws, reps.select("id", F.explode("bands").alias("key")))
     # Parts of short texts: each member meets the one that lacks least.
     posted = reps.select("id", F.explode(F.arrays_zip("parts", "codes")).alias("part")).select("id", F.col("part.parts").alias("key"), F.col("part.codes").alias("code"))
     fewest = posted.groupBy("key").agg(F.min(F.struct("code", "id")).alias("top"), F.count("*").alias("n")).where("n > 1")
@@ -345,29 +363,97 @@ def near_duplicates(
         .select(F.greatest("id", "top.id").alias("a"), F.least("id", "top.id").alias("b")).distinct(), "short",
     )
     # Only texts that share a bucket are needed again; this shuffles texts, once.
-    shares = rows.select("id").union(short.select("a")).union(short.select("b")).distinct()
+    shares = buckets.select("id").union(short.select("a")).union(short.select("b")).distinct()
     needed = all_rows.select("id", "bands").join(shares, "id", "left_semi")
     labels = ws.table(_labelled(whole.join(needed, "id")), "labels")
-    pairs = rows.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).union(short).distinct()
-    links = ws.table(_verified(pairs, labels, least), "links")
-    components = connected_components(ws, links)
-    # Buckets that still hold several components.
-    named = rows.select("id", "key").join(components, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
+    components, mixed = _joined(ws, buckets, labels, least, short)
+    large = mixed.where(F.col("total") > LARGE)
+    members = ws.table(_named(buckets, components).join(large.select("key"), "key").select("id").distinct(), "members")
+    if not members.isEmpty():
+        more = _buckets(ws, _rare(labels, members, least))
+        # The keys stand where the bands did: a pair counts in the smallest that it shares.
+        keys = more.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("bands"))
+        known = components.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        found, rest = _joined(ws, more, labels, least, known=known)
+        named = _named(more, found).join(rest, "key")
+        links = ws.table(_across(named, labels.select("id", "labels").join(keys, "id"), least), "links")
+        components = connected_components(ws, found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
+    named = _named(buckets, components).join(mixed.where(F.col("total") <= LARGE).select("key"), "key")
+    named = named.join(_mixed(named), "key")
+    links = ws.table(_across(named, labels, least), "links")
+    components = connected_components(ws, components.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
+    member = all_rows.select("id", "copy").join(copies, "copy", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    return member.join(components.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("id").alias("row"), F.coalesce("component", "rep").alias("class"))
+
+
+def _buckets(ws: Workspace, keys: DataFrame) -> DataFrame:
+    """``(id, key, low)`` of keys that several ids share; low is the smallest of them."""
+    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low")
+    return ws.table(keys.join(shared, "key").select("id", "key", "low"), "buckets")
+
+
+def _named(buckets: DataFrame, components: DataFrame) -> DataFrame:
+    return buckets.select("id", "key").join(components, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
+
+
+def _mixed(named: DataFrame) -> DataFrame:
+    """``(key, total, main, minor)`` of the buckets that hold several components."""
     parts = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = (
+    return (
         parts.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("top"))
         .where("k > 1").select("key", "total", F.col("top.component").alias("main"), (F.col("total") - F.col("top.n")).alias("minor"))
     )
-    more = ws.table(_across(named.join(mixed, "key"), labels, least), "links")
-    known = components.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    components = connected_components(ws, known.union(more))
-    member = all_rows.select("id", "copy").join(copies, "copy", "left").select("id", F.coalesce("rep", "id").alias("rep"))
-    classes = (
-        member.join(components.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("id", F.coalesce("component", "rep").alias("class_id"))
-    )
-    sizes = ws.table(classes.groupBy("class_id").agg(F.count("*").alias("n_class")), "sizes")  # a hot class can be split in the join
-    out = classes.join(sizes, "class_id").select(
-        F.col("id").alias(id_col), "class_id", "n_class", (F.col("id") == F.col("class_id")).alias("kept")
+
+
+def _joined(ws: Workspace, buckets: DataFrame, labels: DataFrame, least: float, short: DataFrame | None = None, known: DataFrame | None = None):
+    """Components once the members of each bucket have met its smallest, and the buckets that then
+    still hold several."""
+    pairs = buckets.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    pairs = (pairs if short is None else pairs.union(short)).distinct()
+    if known is not None:  # members of one component need not meet again
+        name = lambda c: known.select(F.col("a").alias(c), F.col("b").alias(f"of_{c}"))
+        pairs = pairs.join(name("a"), "a", "left").join(name("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
+    links = ws.table(_verified(pairs, labels, least), "links")
+    components = connected_components(ws, links if known is None else known.union(links))
+    return components, ws.table(_mixed(_named(buckets, components)), "mixed")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY,
+    bands: int = BANDS, size: int = BAND_LABELS,
+) -> DataFrame:
+    """``(id_col, class_id, n_class, kept)``: one row per document.
+
+    ``class_id`` is the smallest id of the component of linked texts, ``n_class`` its number
+    of documents, ``kept`` marks the one document that stays.
+    """
+    ws = Workspace(docs.sparkSession, "near-dup")
+    columns = [F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")]
+    rows = ws.table(docs.select(F.monotonically_increasing_id().alias("row"), *columns), "rows")
+    classes, sizes = _kept(ws, rows, _classes(ws, rows.select("row", "text"), least, bands, size))
+    out = classes.join(sizes, "class").select(
+        F.col("id").alias(id_col), F.col("first.id").alias("class_id"), "n_class", (F.col("row") == F.col("first.row")).alias("kept")
     )
     return ws.keep_only(out)
+
+
+def _kept(ws: Workspace, rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(row, id, class)``, and ``(class, first, n_class)`` where first is the row that is kept."""
+    known = ws.table(classes.join(rows.select("row", "id"), "row"), "classes")
+    # A table of its own: a hot class can be split in the join with it.
+    first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row"))
+    return known, ws.table(known.groupBy("class").agg(first.alias("first"), F.count("*").alias("n_class")), "sizes")
+
+
+def deduplicate(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, bands: int = BANDS, size: int = BAND_LABELS,
+) -> DataFrame:
+    """``docs`` with one row of each class of near-duplicates, as :func:`near_duplicates` keeps it."""
+    ws = Workspace(docs.sparkSession, "near-dup")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    columns = [F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")]
+    rows = ws.table(docs.select(F.monotonically_increasing_id().alias("row"), columns[0], own), "rows")
+    texts = rows.select("row", F.col("own")[text_col].cast("string").alias("text"))
+    _, sizes = _kept(ws, rows, _classes(ws, texts, least, bands, size))
+    kept = rows.join(sizes.select(F.col("first.row").alias("row")), "row", "left_semi")
+    return ws.keep_only(kept.select(*[F.col("own")[c].alias(c) for c in docs.columns]))

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cartograph.llm.common import Workspace, connected_components
-from cartograph.llm.near_dup import _WordHashes, aligned_similarity, bands_of, labels_of, near_duplicates
+from cartograph.llm.near_dup import _WordHashes, aligned_similarity, bands_of, deduplicate, labels_of, near_duplicates
 
 
 def brute(texts, least=0.8):
@@ -82,6 +82,47 @@ def test_odd_rows(odd, none):
     assert {r["doc_id"] for r in twice.where("kept").collect()} == {0, 100, 1, 2, 3, 4, 6, 7, 8, 9}
 
 
+def test_repeated_rows_and_null_ids(odd, none):
+    """Of every class one row stays: not one an id, and no row bypasses it for want of an id."""
+    nameless = odd.withColumn("doc_id", F.lit(None).cast("long"))
+    rows = odd.union(odd).union(nameless).union(odd.withColumn("text", F.lit("another text under an id that is taken")))
+    out = near_duplicates(rows)
+    assert out.count() == 40 and out.where("kept").count() == 12 and out.where("class_id is null").count() == 1  # three null texts of rows with and without id
+    left = deduplicate(rows.withColumn("own", F.lit(1)))
+    assert left.columns == [*odd.columns, "own"] and left.count() == 12 and left.select("text").distinct().count() == 10
+    assert deduplicate(none).count() == 0
+
+
+def test_text_without_spaces(spark):
+    random.seed(8)
+    texts = {}
+    for k, (low, high) in enumerate([(0x4E00, 0x9FA0), (0x3041, 0x3097), (0x0E01, 0x0E2F)]):
+        base = [chr(random.randrange(low, high)) for _ in range(2000)]
+        texts |= {10 * k: "".join(base), 10 * k + 1: "".join(base[:900] + ["x"] + base[901:]), 10 * k + 2: "".join(base[:500] + base[:500]), 10 * k + 3: "".join(base[::-1])}
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute(texts) and [got[10 * k + 1] for k in range(3)] == [0, 10, 20] and got[2] == 2 and got[3] == 3
+
+
+def test_large_buckets_are_dealt_anew(spark, monkeypatch):
+    """Texts that share most of their words with very many others, and near copies among them."""
+    from cartograph.llm import near_dup
+
+    asked = []
+    rare = near_dup._rare
+    monkeypatch.setattr(near_dup, "LARGE", 60)
+    monkeypatch.setattr(near_dup, "_rare", lambda *a: asked.append(1) or rare(*a))
+    random.seed(3)
+    passage = [f"p{k}" for k in range(60)]
+    texts = {}
+    for k in range(0, 900, 3):
+        own = [f"v{random.randrange(10**6)}" for _ in range(40)]
+        texts[k] = " ".join(passage + own)
+        texts[k + 1] = " ".join(passage + own[:-1] + ["other"])
+        texts[k + 2] = " ".join(passage + own[:20] + [f"v{random.randrange(10**6)}" for _ in range(20)])
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert asked and got == brute(texts)
+
+
 def test_labels_and_order():
     known = _WordHashes()
     a = labels_of("a b c d e " * 20, known)
