@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,8 +12,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-BATCH_ROWS = 512
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -38,24 +37,24 @@ class Workspace:
     """Intermediate Parquet tables below the shared folder.
 
     A table that was written survives the loss of any executor, and cuts the lineage
-    of what is built on it.
+    of what is built on it.  The folder goes when the driver's JVM ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        fs, jvm = self._fs()
+        root = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(self.root))
+        fs.mkdirs(root)
+        fs.deleteOnExit(root)
+        self.root = re.sub(r"^file:/+", "file:///", root.toString())
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it as read back."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        before = self.spark.conf.get(ARROW_ROWS)
-        self.spark.conf.set(ARROW_ROWS, BATCH_ROWS)  # rows here can be wide: whole texts, lists of hashes
-        try:
-            df.write.parquet(path)
-        finally:
-            self.spark.conf.set(ARROW_ROWS, before)
+        df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._workspace_path = path
         return out
@@ -64,6 +63,9 @@ class Workspace:
         for df in tables:
             self._delete(df._workspace_path)
 
+    def delete(self, name: str) -> None:
+        self._delete(f"{self.root}/{name}")
+
     def keep_only(self, df: DataFrame) -> DataFrame:
         """Write the result and delete every earlier table."""
         older = [f"{self.root}/{k:03d}-" for k in range(1, self.count + 1)]

@@ -3,30 +3,34 @@
 An archive is a ZIP file whose members are stored, not compressed: a WARC file in which each
 record is a gzip member of its own, and an index with a line for each record.  The reader
 parses the end record, the ZIP64 records where there are any, and the central directory,
-locates members from their local headers, and reads single records by offset and length.
-Nothing is extracted; it needs a function ``read_at(offset, length)`` and the size, so it
-works on bytes, on a local file and on any store with range reads.
+locates members from their local headers, and reads records by the offsets and lengths that
+the index gives.  Nothing is extracted; it needs a function ``read_at(offset, length)`` and
+the size, so it works on bytes, on files and on any store with range reads.
 
 Writing: of records with equal payloads of at least 100 bytes, that with the smallest page id
-is a response and the others revisit it; smaller payloads are always responses.  Archives are
-rows of a table with their bytes, closed at a bounded size, so that they go through Spark's
-own writer to the shared folder; a lost executor's archives are written again.
+is a response and the others revisit it; smaller payloads are always responses.  Tasks write
+their archives as files into the shared folder (through Arrow's file systems: local, HDFS and
+object stores), under a name with the task's attempt that is moved to its place when the file
+is whole; only names, sizes and numbers of records move through Spark.  The table lists the
+files of the attempts that Spark committed: files of lost or repeated attempts are in no row.
 
 Defined results: a null payload is empty; a row without page id is a response and refers to
 nothing; rows of one page id that is the smallest of its payload are all responses; a url's
-control characters and spaces are percent-encoded in headers, a null url has no header.
+control characters and spaces are percent-encoded in headers, a null url has no header.  A
+payload of any length is one record; an empty table gives no archive.  Columns that the
+caller names do not clash with those made here.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs as stores
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +39,9 @@ from .common import Workspace
 
 REVISIT_BYTES = 100
 #: An archive is closed once its records take this many bytes.
-ARCHIVE_BYTES = 4 << 20
+ARCHIVE_BYTES = 32 << 20
+#: Neighbouring records are read in one range of about this many bytes.
+RANGE_BYTES = 1 << 20
 LEVEL = 2
 WARC_NAME, INDEX_NAME = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Fixed values of the formats.
@@ -44,28 +50,40 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 
 
-def zip_stored(members: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
-    """A ZIP file of stored members; with ``zip64`` (or beyond 4 GB) in the ZIP64 form."""
-    out, directory = bytearray(), bytearray()
-    for name, data in members:
-        raw, at, crc = name.encode(), len(out), zlib.crc32(data)
-        big = zip64 or len(data) >= 0xFFFFFFFF or at >= 0xFFFFFFFF
-        size = 0xFFFFFFFF if big else len(data)
-        extra = struct.pack("<HHQQ", 1, 16, len(data), len(data)) if big else b""
-        out += LOCAL + struct.pack("<5H3I2H", 45 if big else 20, 0x800, 0, 0, 33, crc, size, size, len(raw), len(extra)) + raw + extra + data
-        extra = struct.pack("<HHQQQ", 1, 24, len(data), len(data), at) if big else b""
+def write_zip(write: Callable[[bytes], object], members: list[tuple[str, list[bytes]]], zip64: bool = False) -> int:
+    """Write a ZIP file of stored members, each given in parts, and return its size; with
+    ``zip64`` (or beyond 4 GB) in the ZIP64 form.  Parts are never joined."""
+    directory, at = bytearray(), 0
+    for name, parts in members:
+        raw, size, crc = name.encode(), sum(map(len, parts)), 0
+        for part in parts:
+            crc = zlib.crc32(part, crc)
+        big = zip64 or size >= 0xFFFFFFFF or at >= 0xFFFFFFFF
+        short = 0xFFFFFFFF if big else size
+        extra = struct.pack("<HHQQ", 1, 16, size, size) if big else b""
+        head = LOCAL + struct.pack("<5H3I2H", 45 if big else 20, 0x800, 0, 0, 33, crc, short, short, len(raw), len(extra)) + raw + extra
+        extra = struct.pack("<HHQQQ", 1, 24, size, size, at) if big else b""
         directory += CENTRAL + struct.pack(
-            "<6H3I5H2I", 45, 45 if big else 20, 0x800, 0, 0, 33, crc, size, size, len(raw), len(extra), 0, 0, 0, 0, 0xFFFFFFFF if big else at
+            "<6H3I5H2I", 45, 45 if big else 20, 0x800, 0, 0, 33, crc, short, short, len(raw), len(extra), 0, 0, 0, 0, 0xFFFFFFFF if big else at
         ) + raw + extra
-    start, count = len(out), len(members)
-    out += directory
+        write(head)
+        for part in parts:
+            write(part)
+        at += len(head) + size
+    start, count = at, len(members)
     if zip64 or start >= 0xFFFFFFFF or count >= 0xFFFF:
-        end = len(out)
-        out += END64 + struct.pack("<Q2H2I4Q", 44, 45, 45, 0, 0, count, count, len(directory), start)
-        out += LOCATOR64 + struct.pack("<IQI", 0, end, 1)
-        out += END + struct.pack("<4H2IH", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+        directory += END64 + struct.pack("<Q2H2I4Q", 44, 45, 45, 0, 0, count, count, len(directory), start)
+        directory += LOCATOR64 + struct.pack("<IQI", 0, start + len(directory) - 56, 1)
+        directory += END + struct.pack("<4H2IH", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
     else:
-        out += END + struct.pack("<4H2IH", 0, 0, count, count, len(directory), start, 0)
+        directory += END + struct.pack("<4H2IH", 0, 0, count, count, len(directory), start, 0)
+    write(bytes(directory))
+    return start + len(directory)
+
+
+def zip_stored(members: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
+    out = bytearray()
+    write_zip(out.extend, [(name, [data]) for name, data in members], zip64)
     return bytes(out)
 
 
@@ -134,10 +152,16 @@ class ZipRanges:
 
 
 def open_file(path: str) -> ZipRanges:
-    """Ranges of a local file, read with ``pread``."""
-    handle = os.open(path, os.O_RDONLY)
-    out = ZipRanges(lambda at, n: os.pread(handle, n, at), os.fstat(handle).st_size)
-    out._handle = handle
+    """Ranges of a file in a local folder or a store, by its path or URI."""
+    store, inner = stores.FileSystem.from_uri(path) if ":/" in path else (stores.LocalFileSystem(), path)
+    file = store.open_input_file(inner)
+
+    def read_at(at: int, length: int) -> bytes:
+        file.seek(at)
+        return file.read(length)
+
+    out = ZipRanges(read_at, file.size())
+    out.close = file.close
     return out
 
 
@@ -181,22 +205,45 @@ def parse_record(raw: bytes) -> dict:
     return {"warc": fields, "http": answer, "payload": payload}
 
 
-def archive(records: list[tuple], zip64: bool = False) -> bytes:
-    """``(page_id, url, digest, type, gzip member)`` rows to an archive with its index."""
+def members_of(records: list[tuple]) -> list[tuple[str, list[bytes]]]:
+    """``(page_id, url, digest, type, gzip member)`` rows to the members of an archive."""
     lines, at = [], 0
     for page_id, url, digest, kind, raw in records:
-        entry = {"page": page_id, "url": url, "digest": digest, "type": kind, "offset": at, "length": len(raw)}
-        lines.append(json.dumps(entry))
+        lines.append(json.dumps({"page": page_id, "url": url, "digest": digest, "type": kind, "offset": at, "length": len(raw)}))
         at += len(raw)
     index = ("\n".join(lines) + "\n" * bool(lines)).encode()
-    return zip_stored([(WARC_NAME, b"".join(r[4] for r in records)), (INDEX_NAME, index)], zip64)
+    return [(WARC_NAME, [r[4] for r in records]), (INDEX_NAME, [index])]
+
+
+def entries_of(zip_file: ZipRanges) -> list[dict]:
+    """The lines of an archive's index."""
+    return [json.loads(line) for line in zip_file.read(INDEX_NAME).splitlines()]
+
+
+def records_of(zip_file: ZipRanges, entries: list[dict] | None = None) -> Iterator[dict]:
+    """The records that ``entries`` (all, if not given) name, in their order.  Records that stand
+    side by side are read in one range."""
+    entries = entries_of(zip_file) if entries is None else entries
+    start, _ = zip_file.range_of(WARC_NAME)
+    at = 0
+    while at < len(entries):
+        first, end, upto = entries[at]["offset"], entries[at]["offset"] + entries[at]["length"], at + 1
+        while upto < len(entries) and entries[upto]["offset"] == end and end + entries[upto]["length"] - first <= RANGE_BYTES:
+            end += entries[upto]["length"]
+            upto += 1
+        raw = memoryview(zip_file.read_at(start + first, end - first))
+        for entry in entries[at:upto]:
+            low = entry["offset"] - first
+            yield parse_record(raw[low : low + entry["length"]])
+        at = upto
 
 
 def write_archives(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
+    pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
     archive_bytes: int = ARCHIVE_BYTES, zip64: bool = False,
 ) -> DataFrame:
-    """``(name, content)``: a row an archive.
+    """Write archives to ``folder``, which all executors share, as the rows are asked for:
+    ``(name, bytes, records)``, a row a file.
 
     Payloads move once, by page id; revisits are found on ids and digests alone.
     """
@@ -214,16 +261,22 @@ def write_archives(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, number = TaskContext.get().partitionId(), 0
+        store, inner = stores.FileSystem.from_uri(folder)
+        context, number = TaskContext.get(), 0
+        task = f"pages-{context.partitionId():06d}-{context.taskAttemptId():09d}"
         records: list[tuple] = []
         size = 0
 
         def close():
             nonlocal number, records, size
-            name = f"pages-{task:06d}-{number:06d}.zip"
-            out = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([archive(records, zip64)], pa.binary())], ["name", "content"])
+            name = f"{task}-{number:06d}.zip"
+            store.create_dir(inner, recursive=True)
+            with store.open_output_stream(f"{inner}/_{name}") as out:
+                whole = write_zip(out.write, members_of(records), zip64)
+            store.move(f"{inner}/_{name}", f"{inner}/{name}")
+            row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([whole], pa.int64()), pa.array([len(records)], pa.int64())], ["name", "bytes", "records"])
             number, records, size = number + 1, [], 0
-            return out
+            return row
 
         for batch in batches:
             for part in steps(batch, 64):
@@ -237,14 +290,15 @@ def write_archives(
         if records:
             yield close()
 
-    return marked.select("id", "digest", "url", "payload", "first").mapInArrow(run, "name string, content binary")
+    return marked.select("id", "digest", "url", "payload", "first").mapInArrow(run, "name string, bytes long, records long")
 
 
-def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
-    """Records of ``archives(content)``, each read by the range that its archive's index gives.
+def read_archives(archives: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
+    """Records of the ``archives(name)`` in ``folder``, read by the ranges that their indexes give.
 
     ``(page_id, url, payload_bytes, payload_digest, record_type, refers_to, intact[, payload])``;
-    ``intact`` says if a response's payload has the digest and length that its headers name.
+    ``intact`` says if a response's payload has the digest and length that its headers name, and
+    if a revisit has no payload and names its length.
     """
     schema = (
         "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
@@ -254,31 +308,43 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()] + [pa.binary()] * payloads
     number = lambda urn: int(urn[10:-1]) if len(urn) > 11 else None  # noqa: E731  <urn:page:N>
 
-    def rows_of(content: bytes) -> Iterator[tuple]:
-        zip_file = open_bytes(content)
-        start, _ = zip_file.range_of(WARC_NAME)
-        for line in zip_file.read(INDEX_NAME).splitlines():
-            entry = json.loads(line)
-            record = parse_record(bytes(zip_file.read_at(start + entry["offset"], entry["length"])))
-            warc, size = record["warc"], int(record["http"]["content-length"])
-            digest = warc["warc-payload-digest"].removeprefix("sha256:")
-            revisit = warc["warc-type"] == "revisit"
-            intact = revisit or (len(record["payload"]) == size and hashlib.sha256(record["payload"]).hexdigest() == digest)
-            row = (number(warc["warc-record-id"]), warc.get("warc-target-uri"), size, digest, warc["warc-type"],
-                   number(warc["warc-refers-to"]) if revisit else None, intact)
-            yield row + ((record["payload"],) if payloads else ())
+    def row_of(record: dict) -> tuple:
+        warc, size = record["warc"], int(record["http"]["content-length"])
+        digest = warc["warc-payload-digest"].removeprefix("sha256:")
+        revisit = warc["warc-type"] == "revisit"
+        if revisit:
+            intact = not record["payload"] and size >= REVISIT_BYTES
+        else:
+            intact = len(record["payload"]) == size and hashlib.sha256(record["payload"]).hexdigest() == digest
+        row = (number(warc["warc-record-id"]), warc.get("warc-target-uri"), size, digest, warc["warc-type"],
+               number(warc["warc-refers-to"]) if revisit else None, intact)
+        return row + ((record["payload"],) if payloads else ())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):
-                found = list(rows_of(batch.column(0)[at].as_buffer()))
-                columns = list(zip(*found)) if found else [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
-
-    return archives.select("content").mapInArrow(run, schema)
+            for name in batch.column(0).to_pylist():
+                zip_file = open_file(f"{folder}/{name}")
+                found, size = [], 0
+                for record in records_of(zip_file):
+                    found.append(row_of(record))
+                    size += len(record["payload"]) if payloads else 512
+                    if size >= RANGE_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names)
+                        found, size = [], 0
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names)
+                zip_file.close()
+
+    return archives.select("name").mapInArrow(run, schema)
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Write all ``pages`` to archives in the shared folder and read their records back."""
+    """Write all ``pages`` to archives in the shared folder, read their records back and delete
+    the archives."""
     ws = Workspace(pages.sparkSession, "archives")
-    return read_archives(ws.table(write_archives(pages, id_col, url_col, payload_col), "archives"))
+    folder = f"{ws.root}/files"
+    written = ws.table(write_archives(pages, folder, id_col, url_col, payload_col), "names")
+    tasks = max(1, min(written.count(), 4 * pages.sparkSession.sparkContext.defaultParallelism))
+    out = ws.keep_only(read_archives(written.repartition(tasks), folder))
+    ws.delete("files")
+    return out

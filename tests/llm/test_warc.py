@@ -7,7 +7,8 @@ import pytest
 
 from cartograph.llm.queries import op9_warc
 from cartograph.llm.warc_zip import (
-    INDEX_NAME, WARC_NAME, archive_pages, open_bytes, open_file, parse_record, read_archives, record_bytes, write_archives, zip_stored,
+    INDEX_NAME, WARC_NAME, ZipRanges, archive_pages, entries_of, open_bytes, open_file, parse_record, read_archives, record_bytes, records_of,
+    write_archives, zip_stored,
 )
 
 
@@ -87,12 +88,53 @@ def test_odd_pages(spark):
     assert archive_pages(df.where("page_id < 0")).count() == 0
 
 
-def test_payloads_come_back_over_several_archives(spark):
+def test_payloads_come_back_over_several_archives(spark, tmp_path):
     df = spark.range(200).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "repeat(sha2(cast(id AS string), 256), 5) AS html")
-    archives = write_archives(df.coalesce(2), archive_bytes=4000, zip64=True)
+    folder = f"file://{tmp_path}/files"
+    write_archives(df.coalesce(2), folder, archive_bytes=4000, zip64=True).write.parquet(f"{tmp_path}/names")
+    archives = spark.read.parquet(f"{tmp_path}/names")
     found = archives.collect()
-    assert len(found) > 4 and len({r["name"] for r in found}) == len(found)
-    one = open_bytes(bytes(found[0]["content"]))
-    assert set(one.members) == {WARC_NAME, INDEX_NAME}
-    got = {r["page_id"]: r["payload"].decode() for r in read_archives(archives, payloads=True).collect()}
+    assert len(found) > 4 and len({r["name"] for r in found}) == len(found) and sum(r["records"] for r in found) == 200
+    assert sorted(n for n in os.listdir(tmp_path / "files") if not n.startswith(".")) == sorted(r["name"] for r in found)
+    for r in found:
+        path = tmp_path / "files" / r["name"]
+        with zipfile.ZipFile(path) as z:
+            assert z.testzip() is None and set(z.namelist()) == {WARC_NAME, INDEX_NAME} and path.stat().st_size == r["bytes"]
+    got = {r["page_id"]: r["payload"].decode() for r in read_archives(archives, folder, payloads=True).collect()}
     assert got == {r["page_id"]: r["html"] for r in df.collect()}
+
+
+@pytest.mark.parametrize("zip64", [False, True])
+def test_one_record_is_a_short_range(spark, tmp_path, zip64):
+    """From the central directory to the index to one record, by seeks in a file of megabytes."""
+    import base64
+    import random
+
+    random.seed(2)
+    rows = [(k, f"http://h/{k}", base64.b64encode(random.randbytes(30000)).decode()) for k in range(100)]
+    folder = f"file://{tmp_path}/files"
+    write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folder, zip64=zip64).collect()
+    name = next(n for n in os.listdir(tmp_path / "files") if n.endswith(".zip"))
+    whole = open_file(f"{folder}/{name}")
+    size, read = (tmp_path / "files" / name).stat().st_size, []
+    counted = ZipRanges(lambda at, n: read.append(n) or whole.read_at(at, n), size)
+    wanted = [e for e in entries_of(counted) if e["page"] == 57]
+    (record,) = records_of(counted, wanted)
+    assert record["payload"].decode() == rows[57][2] and size > 1_500_000
+    assert sum(read) < 65_557 + 40_000 + 25_000 < size / 10  # the tail, a record, the index and headers
+
+
+def test_very_long_payload(spark):
+    df = spark.createDataFrame([(1, None, "é" * 5_000_000), (2, None, "x y " * 2_500_000), (3, None, "é" * 5_000_000)], "page_id long, url string, html string")
+    rows = {r["page_id"]: r for r in archive_pages(df).collect()}
+    assert [rows[k]["payload_bytes"] for k in (1, 2, 3)] == [10_000_000] * 3 and rows[3]["refers_to"] == 1 and all(r["intact"] for r in rows.values())
+
+
+def test_archives_are_deleted(spark):
+    from cartograph.llm.common import shared_root
+
+    root = shared_root(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    archive_pages(spark.createDataFrame([(1, "http://h/", "x" * 500)], "page_id long, url string, html string")).collect()
+    new = set(os.listdir(root)) - before
+    assert not [n for d in new for n in os.listdir(f"{root}/{d}") if n == "files"]
