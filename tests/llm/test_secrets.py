@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -65,6 +66,32 @@ def test_redaction(spark, docs):
     assert got == {1: ("a [SECRET] b", "x"), 2: ("clean", None), 3: (None, None), 4: ("é [SECRET]", "y")}
 
 
+def test_threshold_on_held_out_runs(spark):
+    model = fit_secrets(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    print(model.threshold, model.false_rate, model.found_rate)
+    assert model.threshold >= 12 and model.false_rate <= 0.001 and model.found_rate > 0.9
+    assert fit_secrets(spark.createDataFrame([], "text string")).threshold == 12
+
+
+def test_many_secrets_in_one_text(spark, docs):
+    """Time grows with the text, not with its square."""
+    model = fit_secrets(docs)
+    line = lambda k: f"é {k} token=" + hashlib.sha256(str(k).encode()).hexdigest()[:24] + " and some words "
+    seconds = []
+    for n in (2000, 16000):
+        text = "".join(map(line, range(n)))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string").repartition(1)
+        df.cache().count()
+        began = time.time()
+        found = find_secrets(df, model).select(F.size("base_spans").alias("n"), spell(F.col("base_spans")).alias("s")).first()
+        masked = redact(df, model).first()["text"]
+        seconds.append(time.time() - began)
+        assert found["n"] == 2 * n == len(base(text)) and found["s"].startswith("assign:4:") and masked.count("[SECRET]") == n
+        assert masked == re.sub(r"token=[0-9a-f]{24}", "[SECRET]", text)
+    print("seconds for 2,000 and 16,000 secrets:", *seconds)
+    assert seconds[1] < 8 * seconds[0] + 2
+
+
 def test_odd_rows(odd, none):
     table = fit_secrets(none)
     assert find_secrets(odd, table).count() == 10 and find_secrets(none, table).count() == 0
