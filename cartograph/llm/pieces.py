@@ -17,7 +17,10 @@ Unknown characters become bytes (or the unknown piece, without bytes).
 
 Defined results: a null or empty text has no pieces, one segmentation, score 0.  Decoding
 gives back every text except one that holds the space symbol U+2581 itself, or unknown
-characters under a vocabulary without bytes.
+characters under a vocabulary without bytes.  Repeated rows each keep their row; an empty
+table gives no rows.  Very long texts are segmented whole, in memory proportional to the
+text: what is remembered of other texts is forgotten once its characters are too many.
+Columns other than the id and the text are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from .vocabulary import MODEL_PATH, UNIT, Remembered, Vocabulary, worker_vocabul
 BEST = 4
 #: Parts of texts that a worker remembers at most, about 250 bytes each.
 REMEMBERED = 500_000
+#: And characters of them, in parts of this many on average.
+PART = 12
 FAR = 1 << 60
 
 
@@ -147,7 +152,7 @@ class Encoder:
         self.slots = _Slots(self._add)
         self.about = np.zeros((1024, 4), np.int64)  # score, loss, start, length
         self.ids = np.zeros(8192, np.int32)
-        self.size = self.used = 0
+        self.size = self.used = self.characters = 0
         self.new_about: list[int] = []
         self.new_ids: list[int] = []
 
@@ -155,6 +160,7 @@ class Encoder:
         ids, score, loss = best_path(self.vocabulary, self.vocabulary.unit(part))
         self.new_about += (score, loss, self.used + len(self.new_ids), len(ids))
         self.new_ids += ids
+        self.characters += len(part)
         return len(self.slots)
 
     def _take_in(self) -> None:
@@ -177,7 +183,7 @@ class Encoder:
         keys = self.vocabulary.parts(text or "")
         if not keys:
             return np.zeros(0, np.int32), 0, [(0, {})]
-        if len(self.slots) >= self.remembered:
+        if len(self.slots) >= self.remembered or self.characters >= PART * self.remembered:
             self._forget()
         slots = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))
         self._take_in()
@@ -197,21 +203,16 @@ class Encoder:
                 found = merged[: self.n]
         ends = np.cumsum(length)
         place = np.arange(ends[-1]) + np.repeat(start - ends + length, length)
+        self.ends = ends  # of the parts of the last text
         return self.ids[place], score, found
 
-    def spell(self, text: str | None, change: dict[int, list[int]]) -> list[int]:
-        """All ids of one segmentation."""
-        out: list[int] = []
-        parts = self.vocabulary.parts(text or "")
-        slots = [self.slots[part] for part in parts]
-        self._take_in()
-        for at, slot in enumerate(slots):
-            if at in change:
-                out += change[at]
-            else:
-                _, _, start, length = self.about[slot].tolist()
-                out += self.ids[start : start + length].tolist()
-        return out
+    def spell(self, ids: np.ndarray, change: dict[int, list[int]]) -> np.ndarray:
+        """All ids of a segmentation of the text that was encoded last, ``ids`` being its best."""
+        pieces, done = [], 0
+        for at in sorted(change):
+            pieces += [ids[done : self.ends[at - 1] if at else 0], np.array(change[at], np.int32)]
+            done = self.ends[at]
+        return np.concatenate([*pieces, ids[done:]])
 
 
 def encode(
@@ -223,7 +224,8 @@ def encode(
     ``best_scores`` has the scores of the N best segmentations.  With ``alternatives`` their
     ids follow as ``best_ids``, with ``decoded`` the text that the ids decode to.  With
     ``digests`` the ids are replaced by SHA-256 digests of their 32-bit little-endian form:
-    ``ids_sha256``, and ``decoded_equal`` says if the ids decode to the text.
+    ``ids_sha256``, and ``best_sha256`` of the ids of the N best, one after the other;
+    ``decoded_sha256`` is that of the decoded text and ``decoded_equal`` says if it is the text.
     """
     import hashlib
 
@@ -233,7 +235,8 @@ def encode(
     fields = [f"`{id_col}` {id_type}"]
     fields.append("ids_sha256 string" if digests else "ids array<int>")
     fields += ["n_pieces long", "score double", "best_scores array<double>"]
-    fields += ["best_ids array<array<int>>"] * alternatives + ["decoded string"] * decoded + ["decoded_equal boolean"] * digests
+    fields += ["best_ids array<array<int>>"] * alternatives + ["best_sha256 string"] * digests + ["decoded string"] * decoded
+    fields += ["decoded_sha256 string", "decoded_equal boolean"] * digests
     names = [f.split(" ")[0].strip("`") for f in fields]
     names[0] = id_col
 
@@ -243,7 +246,11 @@ def encode(
         for batch in batches:
             for part in steps(batch, 128, 2 << 20):
                 texts = part.column(1).to_pylist()
-                done = [encoder(t) for t in texts]
+                done, spelled = [], []
+                for t in texts:
+                    done.append(found := encoder(t))
+                    if alternatives or digests:
+                        spelled.append([found[0] if not change else encoder.spell(found[0], change) for _, change in found[2]])
                 counts = [len(d[0]) for d in done]
                 columns = [part.column(0)]
                 if digests:
@@ -256,11 +263,15 @@ def encode(
                     pa.array([[s / UNIT for s, _ in d[2]] for d in done], pa.list_(pa.float64())),
                 ]
                 if alternatives:
-                    columns.append(pa.array([[encoder.spell(t, c) for _, c in d[2]] for t, d in zip(texts, done)], pa.list_(pa.list_(pa.int32()))))
+                    columns.append(pa.array(spelled, pa.list_(pa.list_(pa.int32()))))
+                if digests:
+                    columns.append(pa.array([hashlib.sha256(b"".join(x.astype("<i4").tobytes() for x in some)).hexdigest() for some in spelled]))
                 if decoded or digests:
                     back = [vocabulary.decode(d[0].tolist()) for d in done]
                     columns += [pa.array(back, pa.string())] * decoded
-                    columns += [pa.array([b == (t or "") for b, t in zip(back, texts)], pa.bool_())] * digests
+                    if digests:
+                        columns.append(pa.array([hashlib.sha256(b.encode("utf-8", "surrogatepass")).hexdigest() for b in back]))
+                        columns.append(pa.array([b == (t or "") for b, t in zip(back, texts)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, ", ".join(fields))

@@ -9,8 +9,10 @@ rows that the dictionaries never saw turns it into a score from 0 to 1.
 
 Defined results: a null or empty text has feature 0 and the score that the curve gives
 for 0; without labels of both classes, every score is the share of good labels (0.5
-without any label).  A label other than 0 and 1, or a null id, is ignored.  Repeated rows
-each keep their row.  Columns that the caller names do not clash with those made here.
+without any label).  A label other than 0 and 1, a null id, or an id with both labels is
+ignored; of rows that repeat a labelled id one takes part in the fit.  Repeated rows each
+keep their score and row.  An empty table gives no rows.  Very long texts are scored whole,
+and calibrated whole.  Columns that the caller names do not clash with those made here.
 """
 
 from __future__ import annotations
@@ -79,13 +81,15 @@ class Feature:
         return difference / (len(raw) * len(self.good))
 
 
-def _train(texts: list[str | None], window: int, size: int) -> bytes:
-    samples = []
-    for text in texts:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        pieces = [raw[k : k + window] for k in range(0, len(raw), window)]
-        samples += pieces[:: max(1, math.ceil(len(pieces) / TRAIN_WINDOWS))]
-    samples = [x for x in samples if x]
+def windows_of(text: str | None, window: int) -> list[bytes]:
+    """Up to ``TRAIN_WINDOWS`` windows, spread evenly over the whole text."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    count = -(-len(raw) // window)
+    step = max(1, -(-count // TRAIN_WINDOWS))
+    return [raw[k * window : (k + 1) * window] for k in range(0, count, step)]
+
+
+def _train(samples: list[bytes], size: int) -> bytes:
     if not samples:
         return b""
     try:
@@ -94,6 +98,21 @@ def _train(texts: list[str | None], window: int, size: int) -> bytes:
         return b"".join(samples)[-size:].rjust(8, b" ")
 
 
+def _of_picked(texts: DataFrame, picked: DataFrame, value, kind: str) -> list:
+    """``(y, value(text))`` of the picked ids, by a hash of the id; one row an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = value()
+        for batch in batches:
+            for part in steps(batch):
+                made = [make(t) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.float64() if kind == "double" else pa.list_(pa.binary()))], ["o", "y", "v"])
+
+    rows = texts.join(F.broadcast(picked), "i").select("o", "y", "t")  # the fit's rows at most
+    made = rows.mapInArrow(run, f"o long, y int, v {kind}")
+    return [(r["y"], r["v"]) for r in made.groupBy("o", "y").agg(F.min("v").alias("v")).orderBy("o").collect()]
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Newton steps on one feature with a weak ridge on the slope."""
     scale = float(np.sqrt(np.average(x * x, weights=weight))) or 1.0
@@ -118,44 +137,48 @@ def fit_quality(
 ) -> QualityModel:
     """Fit on ``labels`` (the caller has taken held-out rows away).
 
-    At most ``fit_rows`` rows of each class are read, those whose id hashes lowest, so the
-    driver's memory is bounded at any size of input; a text over 1 MB takes part in the fit
-    with evenly spread windows only (it is scored whole).
+    At most ``fit_rows`` rows of each class take part, those whose id hashes lowest, so the
+    driver's memory is bounded at any size of input: of three quarters of them windows spread
+    over the whole text come to the driver and train the dictionaries, of the last quarter the
+    features, which executors compute from whole texts as they do for scores.
     """
-    known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where(
-        "i is not null and y in (0, 1)"
+    known = (
+        labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y in (0, 1)")
+        .groupBy("i").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").drop("other")
     )
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n = sum(totals.values())
-    if len(totals) < 2:
+
+    def constant() -> QualityModel:
         share = (totals.get(1, 0) + 0.5) / (n + 1) if n else 0.5
         return QualityModel((), (), 0.0, math.log(share / (1 - share)), window, level)
+
+    if len(totals) < 2:
+        return constant()
     picked = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(fit_rows)
         picked = part if picked is None else picked.union(part)
-    texts = docs.select(F.col(id_col).alias("i"), F.substring(F.col(text_col), 1, 1 << 20).alias("t"))
-    rows = (
-        texts.join(F.broadcast(picked), "i")  # 2 * fit_rows ids at most
-        .select("y", "t", (F.pmod(F.xxhash64("i", F.lit(11)), F.lit(4)) == 0).alias("c"), F.xxhash64("i", F.lit(5)).alias("o"))
-        .orderBy("o").collect()
-    )
-    parts = {(y, c): [r["t"] for r in rows if r["y"] == y and r["c"] == c] for y in (0, 1) for c in (False, True)}
-    for y in (0, 1):
-        if not parts[y, True] or not parts[y, False]:  # tiny input: both uses share the rows
-            parts[y, True] = parts[y, False] = parts[y, True] + parts[y, False]
-    pairs = max(1, min(PAIRS, min(len(parts[0, False]), len(parts[1, False])) // PAIR_ROWS))
-    good, bad = (tuple(_train(parts[y, False][k::pairs], window, dictionary_bytes) for k in range(pairs)) for y in (1, 0))
-    if not all(good) or not all(bad) or not parts[0, True] or not parts[1, True]:
-        share = totals[1] / n
-        return QualityModel((), (), 0.0, math.log(share / (1 - share)), window, level)
-    feature = Feature(good, bad, window, level)
-    x = {y: np.array([feature(t) for t in parts[y, True]]) for y in (0, 1)}
-    weight = np.concatenate([np.full(len(x[y]), totals[y] / len(x[y])) for y in (0, 1)])
-    weight *= (len(x[0]) + len(x[1])) / weight.sum()
-    slope, intercept = _logistic(
-        np.concatenate([x[0], x[1]]), np.concatenate([np.zeros(len(x[0])), np.ones(len(x[1]))]), weight
-    )
+    picked = picked.select("i", "y", F.xxhash64("i", F.lit(5)).alias("o"))
+    calibrates = F.pmod(F.xxhash64("i", F.lit(11)), F.lit(4)) == 0
+    texts = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    rows = _of_picked(texts, picked.where(~calibrates), lambda: lambda t: windows_of(t, window), "array<binary>")
+    samples = {y: [v for label, v in rows if label == y and v] for y in (0, 1)}
+    tiny = not samples[0] or not samples[1]
+    if tiny:  # both uses share the rows
+        rows = _of_picked(texts, picked, lambda: lambda t: windows_of(t, window), "array<binary>")
+        samples = {y: [v for label, v in rows if label == y and v] for y in (0, 1)}
+    pairs = max(1, min(PAIRS, min(len(samples[0]), len(samples[1])) // PAIR_ROWS))
+    good, bad = (tuple(_train([w for v in samples[y][k::pairs] for w in v], dictionary_bytes) for k in range(pairs)) for y in (1, 0))
+    if not all(good) or not all(bad):
+        return constant()
+    feature = lambda: Feature(good, bad, window, level)
+    found = [] if tiny else _of_picked(texts, picked.where(calibrates), feature, "double")
+    if {y for y, _ in found} != {0, 1}:
+        found = _of_picked(texts, picked, feature, "double")
+    y, x = np.array([y for y, _ in found], float), np.array([v for _, v in found])
+    weight = np.where(y == 1, totals[1] / max(1, (y == 1).sum()), totals[0] / max(1, (y == 0).sum()))
+    slope, intercept = _logistic(x, y, weight * len(y) / weight.sum())
     return QualityModel(good, bad, max(slope, 0.0), intercept, window, level)
 
 

@@ -83,7 +83,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode(_table(spark, sf_dir, "documents"), digests=True)
     best = F.array_join(F.transform("best_scores", lambda x: F.format_string("%.4f", x)), ";")
-    return coded.select("doc_id", "n_pieces", "score", "ids_sha256", best.alias("best_scores"), "decoded_equal")
+    return coded.select("doc_id", "n_pieces", "score", "ids_sha256", best.alias("best_scores"), "best_sha256", "decoded_sha256", "decoded_equal")
 
 
 QUERIES = {

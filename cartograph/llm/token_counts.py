@@ -9,7 +9,12 @@ bytes (as one piece if the vocabulary has no bytes, adjacent ones together).
 The segmentation falls apart at spaces if no piece reaches across one, and then the counts
 of the parts are remembered up to a bound; otherwise the pass goes over the whole text.
 
-Defined results: a null or empty text has 0 tokens.  Repeated rows each keep their row.
+Scores are whole numbers of 1/1024, so sums are exact at any length; a tokenizer that adds
+32-bit floats rounds them beyond 2 ** 14 and may then take another of two near paths.
+
+Defined results: a null or empty text has 0 tokens.  Repeated rows each keep their row; an
+empty table gives no rows.  Very long texts are counted whole; parts of over ``LONGEST``
+characters are not remembered.  Other columns stay, but for one named like the result.
 """
 
 from __future__ import annotations

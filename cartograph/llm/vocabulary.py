@@ -243,6 +243,10 @@ def worker_vocabulary(raw: bytes) -> Vocabulary:
     return _LOADED[key]
 
 
+#: Characters of a part that is worth remembering: longer ones, of text without spaces, hardly come again.
+LONGEST = 64
+
+
 class Remembered(dict):
     """Values by key in two generations: words in use stay, memory is bounded."""
 
@@ -254,6 +258,8 @@ class Remembered(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            if len(key) > LONGEST:
+                return value
         if len(self) >= self.most:
             self.old = self.copy()
             self.clear()

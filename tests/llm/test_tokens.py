@@ -1,11 +1,14 @@
+import hashlib
 import heapq
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 from cartograph.llm.pieces import Encoder, best_path, encode, forward, n_best
+from cartograph.llm.queries import op2_token_counts, op10_sentencepiece
 from cartograph.llm.token_counts import count_pieces, token_counts
 from cartograph.llm.vocabulary import BYTE, MODEL_PATH, UNIT, _fields, parse_vocabulary
 
@@ -49,10 +52,11 @@ def test_n_best_scores_equal_the_library(vocabulary, library, texts):
         theirs = library.nbest_encode(text, nbest_size=4, out_type=int)
         if any(vocabulary.kinds[k] == BYTE for k in theirs[0]):
             continue
-        found = encoder(text)[2]
+        ids, _, found = encoder(text)
         assert [s for s, _ in found] == [sum(vocabulary.scores[k] for k in ids) for ids in theirs]
-        spelled = [encoder.spell(text, c) for _, c in found]
+        spelled = [encoder.spell(ids, c).tolist() for _, c in found]
         assert len({tuple(x) for x in spelled}) == len(spelled) and all(vocabulary.decode(x) == text for x in spelled)
+        assert [sum(vocabulary.scores[k] for k in x) for x in spelled] == [s for s, _ in found]
 
 
 def all_paths(vocabulary, unit):
@@ -88,6 +92,40 @@ def test_forgetting(vocabulary):
         assert one[0].tolist() == two[0].tolist() and one[1] == two[1] and [s for s, _ in one[2]] == [s for s, _ in two[2]]
 
 
+def test_queries_on_whole_texts(spark, sf, texts, library, vocabulary):
+    """The registered queries against the C++ library, every text whole."""
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    want = {k: library.encode(t or "") for k, t in texts.items()}
+    counts = {r["doc_id"]: r["n_tokens"] for r in op2_token_counts(spark, sf).collect()}
+    rows = {r["doc_id"]: r for r in op10_sentencepiece(spark, sf).collect()}
+    exact = {k for k, r in rows.items() if -r["score"] < 1 << 14}  # beyond it the library's 32-bit sums are rounded
+    assert len(exact) > 0.9 * len(texts) and counts == {k: r["n_pieces"] for k, r in rows.items()}
+    assert all(abs(counts[k] - len(x)) <= (0 if k in exact else 2) for k, x in want.items())
+    assert all(rows[k]["ids_sha256"] == sha(np.array(want[k], "<i4").tobytes()) for k in exact)
+    assert all(r["decoded_equal"] and r["decoded_sha256"] == sha((texts[k] or "").encode()) for k, r in rows.items())
+    some = [k for k, t in texts.items() if t and len(t) < 400 and not any(library.is_byte(x) for x in want[k])][:12]
+    for k in some:
+        best = library.nbest_encode(texts[k], nbest_size=5, out_type=int)
+        scores = [float(x) for x in rows[k]["best_scores"].split(";")]
+        assert scores == sorted(scores, reverse=True) and len(scores) == len(best[:4])
+        value = lambda ids: sum(vocabulary.scores[x] for x in ids)
+        if len({value(x) for x in best}) == 5:  # equal scores may come in another order
+            assert rows[k]["best_sha256"] == sha(b"".join(np.array(x, "<i4").tobytes() for x in best[:4]))
+
+
+def test_very_long_texts(spark, vocabulary):
+    """Long texts with and without spaces, whole; what is remembered stays bounded."""
+    texts = ["a few words of a text " * 50_000, "x" * 200_000, "文" * 200_000, "short"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in encode(df, digests=True).collect()}
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_counts(df).collect()}
+    assert all(rows[k]["decoded_equal"] and rows[k]["n_pieces"] == counts[k] for k in range(4)) and counts[0] > 200_000
+    encoder = Encoder(vocabulary, 2, remembered=1000)
+    for k in range(40):
+        encoder("y" * (3000 + k))
+        assert encoder.characters < 16_000
+
+
 def test_odd_rows(odd, none, vocabulary):
     counts = {r["doc_id"]: r["n_tokens"] for r in token_counts(odd).collect()}
     rows = {r["doc_id"]: r for r in encode(odd, alternatives=True, decoded=True).collect()}
