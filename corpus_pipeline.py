@@ -4,6 +4,13 @@ kept.
 Stages take and return the columns of ``documents`` (doc_id, text, lang, source, n_chars);
 the last returns what a trainer reads.  Between stages the rows are written as Parquet and
 read again, so a lost executor costs the tasks of one stage only.
+
+Defined results: other columns than those are dropped at the first stage, whatever their
+names.  A null or empty text has the classifier's score for no text; of empty texts one stays
+and null texts are no copies of each other, unless that score rejects them.  Rows without id are documents like others, and of
+repeated rows one stays.  A null source is a source.  The mix leaves documents without words
+out, and a document has a row for each pass that takes words of it.  Texts of any length go
+through whole.  An empty table gives no rows, at every stage.
 """
 
 from __future__ import annotations
@@ -13,7 +20,7 @@ from pyspark.sql import functions as F
 
 from cartograph.llm.common import Workspace
 from cartograph.llm.mixing import mix_documents
-from cartograph.llm.near_dup import near_duplicates
+from cartograph.llm.near_dup import deduplicate
 from cartograph.llm.pieces import encode
 from cartograph.llm.quality import fit_quality, score_quality
 from cartograph.llm.secret_scan import fit_secrets, redact
@@ -29,10 +36,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of smallest id stays."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    docs = docs.select(*COLUMNS)
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).union(docs.where("doc_id is null"))
+    """Of each group of near-duplicates one row stays, that of smallest id, null ids last."""
+    return deduplicate(docs.select(*COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
