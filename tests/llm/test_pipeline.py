@@ -38,5 +38,8 @@ def test_run_and_odd_rows(spark, odd, none, tmp_path):
     odd.union(odd.withColumn("doc_id", F.lit(None).cast("long"))).write.parquet(f"{tmp_path}/documents.parquet")
     rows = pipeline.run(spark, str(tmp_path)).collect()
     assert all(len(r["ids"]) == r["n_pieces"] for r in rows)
+    odd_rows = odd.union(odd).union(odd.withColumn("doc_id", F.lit(None).cast("long")))
+    once = pipeline.near_dedup(spark, odd_rows, str(tmp_path)).collect()
+    assert len(once) == len({r["text"] for r in once}) + 2 and all(r["doc_id"] is not None for r in once if r["text"] is not None)  # null texts are alone
     for _, stage in pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
