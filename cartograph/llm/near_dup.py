@@ -20,10 +20,10 @@ components.  So no pair of a bucket is left open, and nothing is capped; pairs i
 component, as in a group of many near copies, are not made.  Members of a part meet the one
 that lacks fewest labels beside it: whoever links with another by that part links with it.
 
-Large buckets of many components arise from passages that many texts share.  Their members
-are not crossed but dealt anew by rare labels: of texts of n labels with similarity t, each
-has one of the other's among its n - ceil(t n) + 1 rarest.  So every pair that can link meets
-in the bucket of such a label, where the same steps follow.
+Buckets with many members outside the main component arise from passages that many texts
+share.  Their members are not crossed but dealt anew by rare labels: of texts of n labels with
+similarity t, each has one of the other's among its n - ceil(t n) + 1 rarest.  So every pair
+that can link meets in the bucket of such a label, where the same steps follow.
 
 Words are runs without white space, single characters in scripts without spaces (see
 ``scripts``).  Rows have numbers of their own while the operator works, so a repeated id is
@@ -62,7 +62,8 @@ BANDS = 28
 BAND_LABELS = 5
 #: Parts of a short text at most; a text that would have more is not short.  At 0.8, 14 labels have 106.
 PARTS = 128
-#: Members of a bucket in one block, about, and of a bucket that is dealt anew by rare labels.
+#: Members of a bucket in one block, about, and members outside the main component of a bucket
+#: that is dealt anew by rare labels: so many blocks would meet all the others.
 BLOCK = 192
 LARGE = 4 * BLOCK
 
@@ -333,14 +334,15 @@ def _across(rows: DataFrame, labels: DataFrame, least: float) -> DataFrame:
 
 
 def _rare(labels: DataFrame, members: DataFrame, least: float) -> DataFrame:
-    """``(id, key)``: the labels of ``members`` by which any two that can link must meet, those of
-    their rarest that another member has too."""
-    own = labels.join(members, "id", "left_semi").select("id", F.size("labels").alias("n"), F.explode("labels").alias("key"))
-    often = own.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+    """``(id, key)``: the labels of ``members(id, component)`` by which any two of different
+    components that can link must meet: of their rarest, those that another component has too."""
+    own = labels.join(members, "id").select("id", "component", F.size("labels").alias("n"), F.explode("labels").alias("key"))
+    often = own.groupBy("key").agg(F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "often")
+    own = own.drop("component")
     shared = own.join(often, "key")
     place = Window.partitionBy("id").orderBy("often", "key")
     reach = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
-    # Labels of one text only are the rarest; they take places, but nobody meets there.
+    # Labels of one component come first; they take places, but nobody meets there.
     counted = shared.groupBy("id").agg(F.count("*").alias("found"))
     ranked = shared.withColumn("place", F.row_number().over(place)).join(counted, "id")
     return ranked.where(F.col("place") <= reach - (F.col("n") - F.col("found"))).select("id", "key")
@@ -367,8 +369,9 @@ def _classes(ws: Workspace, rows: DataFrame, least: float, bands: int, size: int
     needed = all_rows.select("id", "bands").join(shares, "id", "left_semi")
     labels = ws.table(_labelled(whole.join(needed, "id")), "labels")
     components, mixed = _joined(ws, buckets, labels, least, short)
-    large = mixed.where(F.col("total") > LARGE)
-    members = ws.table(_named(buckets, components).join(large.select("key"), "key").select("id").distinct(), "members")
+    is_large = F.col("minor") > LARGE
+    large = mixed.where(is_large)
+    members = ws.table(_named(buckets, components).join(large.select("key"), "key").select("id", "component").distinct(), "members")
     if not members.isEmpty():
         more = _buckets(ws, _rare(labels, members, least))
         # The keys stand where the bands did: a pair counts in the smallest that it shares.
@@ -378,7 +381,7 @@ def _classes(ws: Workspace, rows: DataFrame, least: float, bands: int, size: int
         named = _named(more, found).join(rest, "key")
         links = ws.table(_across(named, labels.select("id", "labels").join(keys, "id"), least), "links")
         components = connected_components(ws, found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
-    named = _named(buckets, components).join(mixed.where(F.col("total") <= LARGE).select("key"), "key")
+    named = _named(buckets, components).join(mixed.where(~is_large).select("key"), "key")
     named = named.join(_mixed(named), "key")
     links = ws.table(_across(named, labels, least), "links")
     components = connected_components(ws, components.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
