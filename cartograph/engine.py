@@ -74,7 +74,8 @@ class Engine:
             raise ValueError("a query is needed")
         if self.status() != FRESH:
             self.index()
-        rows = search.search(self.store.vectors(), top=top, min_score=min_score, **self.bind(query, must or []))
+        common = self.store.meta("common_terms")
+        rows = search.search(self.store.vectors(), top=top, min_score=min_score, common=common, **self.bind(query, must or []))
         return rows.select("path", "score")
 
     def members(self, paths: list[str]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Terms too common to tell folders apart.
 
-The list is derived from the data: a term is common if more than a given share of folders
-has it.  A short list of stop words and layout names is always in.
+The list is derived from the data alone: a term is common if more than a given share of
+folders has it.  A caller may add terms of a resource of their own.
 """
 
 from __future__ import annotations
@@ -10,19 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHARE = 0.15
-#: Always common: English function words, verbs that any code has, names of layout folders.
-ALWAYS = (
-    "a an and are as at be by for from in into is it of on or that the this to with "
-    "add all build check create delete do execute find get handle has init is load make new parse process read remove "
-    "run save send set start stop update use validate write "
-    "app api base bin build client code common config core data dist file files helper helpers lib main manager model "
-    "models module modules package packages scripts service services shared source src test tests tool tools type types "
-    "util utils"
-).split()
-
-
-def always_common() -> set[str]:
-    return set(ALWAYS)
 
 
 def load_terms(text: str) -> list[str]:
@@ -41,5 +28,5 @@ def common_terms(folders: DataFrame, key_col: str, tokens_col: str, share: float
 
 def telling_terms(terms: Column, common: list[str] | set[str] | None = None) -> Column:
     """The terms of a query that are not common, in order."""
-    drop = sorted(always_common() if common is None else common)
+    drop = sorted(common or ())
     return F.array_except(terms, F.array(*[F.lit(t) for t in drop]).cast("array<string>"))

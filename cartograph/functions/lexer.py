@@ -1,12 +1,15 @@
 """Tokens of C# and TypeScript source, with offsets.
 
 Enough of both languages to find declarations and their spans: strings of all kinds,
-comments, preprocessor lines, regular-expression literals and brackets.  Offsets are code
-points.  An unclosed string or comment ends with the text.
+comments, preprocessor lines, regular-expression literals, JSX elements and brackets.  Of
+conditional C# only the branch in force is read, where no symbols are defined but those that
+the text defines.  A JSX element is one token, as a string is.  Offsets are code points.  An
+unclosed string or comment ends with the text.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 WORD, STRING, PUNCTUATION, COMMENT = "word", "string", "punctuation", "comment"
@@ -143,6 +146,155 @@ def _regex_end(source: str, at: int) -> int | None:
     return None
 
 
+_TAG = re.compile(r"[\w$][\w$.:-]*")
+
+
+def _code(source: str, at: int) -> int | None:
+    """End of the braces at ``at`` that hold code in a JSX element."""
+    depth, i, before = 0, at, ""
+    while i < len(source):
+        c = source[i]
+        end = None
+        if source.startswith("/*", i) or source.startswith("//", i):
+            close = source.find("*/" if source[i + 1] == "*" else "\n", i + 2)
+            end = len(source) if close < 0 else close + 2 * (source[i + 1] == "*")
+        elif c in "\"'`":
+            end = _script_string(source, i)
+        elif c == "<" and (not before or before in "(,=[{?:&|!;>"):
+            end = _jsx(source, i)
+        if end is not None:
+            i, before = end, ")"
+            continue
+        depth += (c == "{") - (c == "}")
+        if not depth:
+            return i + 1
+        if not c.isspace():
+            before = "(" if c == "n" and source.endswith("return", 0, i + 1) else c
+        i += 1
+    return None
+
+
+def _jsx(source: str, at: int) -> int | None:
+    """End of the JSX element that starts at ``at``; None if it is something else."""
+    tag = _TAG.match(source, at + 1)
+    name, i = (tag[0], tag.end()) if tag else ("", at + 1)
+    while name and i < len(source) and source[i] != ">":  # attributes
+        c = source[i]
+        if source.startswith("/>", i):
+            return i + 2
+        if c == "{":
+            i = _code(source, i)
+        elif c in "\"'":
+            i = source.find(c, i + 1) + 1 or None
+        elif c.isspace() or c in "=-:." or _is_word(c):
+            i += 1
+        else:
+            return None
+        if i is None:
+            return None
+    if i >= len(source) or source[i] != ">":
+        return None
+    i += 1
+    while i < len(source):  # text, code and elements
+        c = source[i]
+        if source.startswith("</", i):
+            close = re.compile(r"</\s*" + re.escape(name) + r"\s*>").match(source, i)
+            return close.end() if close else None
+        end = _jsx(source, i) if c == "<" else _code(source, i) if c == "{" else i + 1
+        if end is None:
+            return None
+        i = end
+    return None
+
+
+_DIRECTIVE = re.compile(r"[ \t]*#[ \t]*(\w+)[ \t]*([^\r\n]*)")
+
+
+class _Conditions:
+    """Which branches of conditional C# are in force."""
+
+    def __init__(self):
+        self.symbols: set[str] = set()
+        self.taken: list[bool] = []  # of each open #if, whether a branch has been in force
+
+    def holds(self, text: str) -> bool:
+        words = re.findall(r"\w+|&&|\|\||[!=]=|[()!]", text.split("//")[0])
+
+        def either() -> bool:
+            value = both()
+            while words[:1] == ["||"]:
+                words.pop(0)
+                value = both() or value
+            return value
+
+        def both() -> bool:
+            value = equal()
+            while words[:1] == ["&&"]:
+                words.pop(0)
+                value = equal() and value
+            return value
+
+        def equal() -> bool:
+            value = one()
+            while words[:1] in (["=="], ["!="]):
+                value = (words.pop(0) == "==") == (value == one())
+            return value
+
+        def one() -> bool:
+            word = words.pop(0) if words else "false"
+            if word == "!":
+                return not one()
+            if word == "(":
+                value = either()
+                if words[:1] == [")"]:
+                    words.pop(0)
+                return value
+            return word == "true" or word in self.symbols
+
+        return either()
+
+    def after(self, source: str, at: int) -> int:
+        """Where to read on after the directive at ``at``: past branches that are not in force."""
+        line = _DIRECTIVE.match(source, at)
+        if line is None:
+            end = source.find("\n", at)
+            return len(source) if end < 0 else end
+        word, rest = line[1], line[2]
+        if word == "define":
+            self.symbols |= set(rest.split()[:1])
+        elif word == "undef":
+            self.symbols -= set(rest.split()[:1])
+        elif word == "if":
+            self.taken.append(self.holds(rest))
+            if not self.taken[-1]:
+                return self.skip(source, line.end())
+        elif word in ("elif", "else") and self.taken:  # the branch above was in force
+            return self.skip(source, line.end())
+        elif word == "endif" and self.taken:
+            self.taken.pop()
+        return line.end()
+
+    def skip(self, source: str, at: int) -> int:
+        depth = 0
+        while (end := source.find("\n", at)) >= 0:
+            line = _DIRECTIVE.match(source, end + 1)
+            at = end + 1
+            if line is None:
+                continue
+            at, word = line.end(), line[1]
+            if word == "if":
+                depth += 1
+            elif word == "endif" and depth:
+                depth -= 1
+            elif word == "endif":
+                self.taken.pop()
+                return at
+            elif not depth and word in ("elif", "else") and not self.taken[-1] and (word == "else" or self.holds(line[2])):
+                self.taken[-1] = True
+                return at
+        return len(source)
+
+
 def tokenize(source: str, language: str, comments: bool = False) -> list[Token]:
     """Tokens in order; comments only if asked for."""
     sharp = language == "csharp"
@@ -150,6 +302,7 @@ def tokenize(source: str, language: str, comments: bool = False) -> list[Token]:
     out: list[Token] = []
     last: Token | None = None
     at, size, line_start = 0, len(source), True
+    conditions = _Conditions()
     while at < size:
         c = source[at]
         if c == "\n":
@@ -158,8 +311,7 @@ def tokenize(source: str, language: str, comments: bool = False) -> list[Token]:
             at += 1
             continue
         if sharp and c == "#" and line_start:  # preprocessor line
-            end = source.find("\n", at)
-            at = size if end < 0 else end
+            at = conditions.after(source, at)
             continue
         line_start = False
         kind, end = PUNCTUATION, at + 1
@@ -187,6 +339,10 @@ def tokenize(source: str, language: str, comments: bool = False) -> list[Token]:
             found = _regex_end(source, at)
             if found is not None:
                 kind, end = STRING, found
+        elif not sharp and c == "<" and (last is None or last.kind == PUNCTUATION and last.text not in (")", "]", "}", ">") or last.text in BEFORE_REGEX or last.text == "default"):
+            found = _jsx(source, at)
+            if found is not None:
+                kind, end = STRING, found
         token = Token(kind, source[at:end], at, end)
         if kind != COMMENT:
             last = token

@@ -3,8 +3,9 @@
 Declarations are found by walking brackets; bodies are not entered.  C# gives methods,
 constructors and properties of any visibility; TypeScript gives methods, constructors,
 accessors, fields, interface members, functions, type aliases and enums.  Fields, events,
-indexers, operators, destructors, enums and delegates of C# are left out, as are constants
-that hold functions in TypeScript.
+indexers, operators, destructors, enums and delegates of C# are left out, and functions of
+top-level statements, as are constants that hold functions in TypeScript.  Signatures of
+TypeScript members have no type parameters.
 """
 
 from __future__ import annotations
@@ -203,9 +204,10 @@ class _Sharp(_Walker):
         shown = self.text(name_at, close)
         signature = " ".join([*modifiers, *([returned] if returned else []), shown]).strip()
         kind = "constructor" if is_constructor else "method"
-        self.found.append(Member(
-            kind, container, name, signature, kind == "method" and "public" in modifiers, tokens[first].start, tokens[end].end, *(body or (None, None))
-        ))
+        if chain:
+            self.found.append(Member(
+                kind, container, name, signature, kind == "method" and "public" in modifiers, tokens[first].start, tokens[end].end, *(body or (None, None))
+            ))
         return end + 1
 
     def property(self, first, head, name_at, k, stop, modifiers, container) -> int:
@@ -232,7 +234,8 @@ class _Sharp(_Walker):
             shown += " { " + " ".join(accessors) + " }"
             body = (tokens[k].start, tokens[close].end)
             end = self.to_semicolon(close + 1, stop) if self.is_at(close + 1, "=") else close
-        self.found.append(Member("property", container, tokens[name_at].text.lstrip("@"), shown, False, tokens[first].start, tokens[end].end, *body))
+        if container != GLOBAL:
+            self.found.append(Member("property", container, tokens[name_at].text.lstrip("@"), shown, False, tokens[first].start, tokens[end].end, *body))
         return end + 1
 
 

@@ -1,14 +1,16 @@
 """The folder index: an incrementally maintained Parquet table.
 
 A version of the index is a directory; a manifest beside them names the current one, the
-key of the state that it was built from, and some metadata.  A build writes a new version
-and swaps the manifest last, so a crash leaves the old version in force and the next build
-repairs.  Only folders whose file hashes changed are extracted and embedded again.
+key of the state that it was built from, and some metadata.  Manifests are numbered, and the
+newest that can be read is in force.  A build writes a new version, then a manifest under a
+temporary name that is renamed to the next number; only then older manifests go.  So a crash
+at any step leaves the old version in force and the next build repairs.  Only folders whose file hashes changed are extracted and embedded again.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from contextlib import contextmanager
 from datetime import datetime, timezone
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import digests, embedding, tokens
+from ..functions.common_terms import common_terms
 from ..functions.paths import file_set
 from ..operators.extract import extract_members, public_names
 
@@ -24,6 +27,10 @@ SCHEMA = (
     "path string, tokens array<string>, embedding_text string, embedding array<float>, "
     "file_hashes map<string,string>, filename_set string"
 )
+#: Folders that must have a term before it can be common: shares of a few folders say little.
+COMMON_FOLDERS = 20
+#: Entries of a bucket of the state key, about, at most.
+BUCKET = 4096
 MISSING, FRESH, STALE = "Missing", "Fresh", "Stale"
 
 
@@ -39,37 +46,53 @@ class IndexStore:
     def _fs(self):
         return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def manifest(self) -> dict | None:
-        """All metadata, or None without an index; unreadable text counts as an empty one."""
-        fs, path = self._fs(), self._path("manifest.json")
-        if not fs.exists(path):
-            return None
-        stream = fs.open(path)
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        try:
-            found = json.loads(text)
-        except ValueError:
-            return {}
-        return found if isinstance(found, dict) else {}
+    def _manifests(self) -> list[tuple[int, str]]:
+        """Numbers and names of the manifests, newest first."""
+        fs, root = self._fs(), self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        if not fs.exists(root):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(root)]
+        return sorted(((int(m[1]), m[0]) for n in names if (m := re.fullmatch(r"manifest-(\d+)\.json", n))), reverse=True)
 
-    def meta(self, key: str) -> str | None:
+    def manifest(self) -> dict | None:
+        """All metadata of the newest manifest that can be read; None without an index, an empty one
+        if none can be read."""
+        found = self._manifests()
+        for _, name in found:
+            stream = self._fs().open(self._path(name))
+            try:
+                text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            try:
+                values = json.loads(text)
+            except ValueError:
+                continue
+            if isinstance(values, dict):
+                return values
+        return {} if found else None
+
+    def meta(self, key: str):
         return (self.manifest() or {}).get(key)
 
     def _swap(self, values: dict) -> None:
-        fs, new, old = self._fs(), self._path(f"manifest-{uuid.uuid4().hex}.tmp"), self._path("manifest.json")
+        fs, older = self._fs(), self._manifests()
+        new, place = self._path(f"manifest-{uuid.uuid4().hex}.tmp"), self._path(f"manifest-{older[0][0] + 1 if older else 1:09d}.json")
         stream = fs.create(new, True)
         try:
             stream.write(bytearray(json.dumps(values, indent=1).encode()))
         finally:
             stream.close()
-        fs.delete(old, False)
-        if not fs.rename(new, old):
-            raise OSError("the manifest could not be put in place")
+        self._rename(new, place)
+        for _, name in older:
+            fs.delete(self._path(name), False)
+
+    def _rename(self, new, place) -> None:
+        fs = self._fs()
+        if fs.exists(place) or not fs.rename(new, place):
+            raise OSError("the manifest could not be put in place: another build may have been faster")
 
-    def put_meta(self, key: str, value: str) -> None:
+    def put_meta(self, key: str, value) -> None:
         self._swap({**(self.manifest() or {}), key: value})
 
     def ensure(self) -> None:
@@ -183,16 +206,26 @@ def folder_status(live: DataFrame, stored: DataFrame, key: str = "path", hashes:
 def state_key_of(files: DataFrame, branch: str) -> str:
     """Key of a listing: two levels of digests, so that no task holds all entries.
 
-    Entries meet in 4,096 buckets by hash; the key is that of the buckets' digests.
+    Entries meet in buckets by the first hexadecimal digits of their MD5, one more for each
+    sixteenfold listing, so that a bucket has ``BUCKET`` entries at most, about; the key is
+    that of the buckets' digests.
     """
-    entry = F.concat_ws(":", "path", "hash")
-    buckets = files.select(entry.alias("e")).distinct().groupBy(F.pmod(F.xxhash64("e"), F.lit(4096)).alias("b")).agg(
+    entries = files.select(F.concat_ws(":", "path", "hash").alias("e")).distinct()
+    digits = bucket_digits(entries.count())
+    buckets = entries.groupBy(F.substring(F.md5("e"), 1, digits).alias("b")).agg(
         F.sha2(F.array_join(F.array_sort(F.collect_list("e")), "\n"), 256).alias("d")
     )
-    row = buckets.agg(digests.state_key(F.lit(branch), F.collect_list(F.concat_ws(":", F.col("b").cast("string"), "d"))).alias("k")).first()
+    row = buckets.agg(digests.state_key(F.lit(branch), F.collect_list(F.concat_ws(":", "b", "d"))).alias("k")).first()
     return row["k"]
 
 
+def bucket_digits(count: int) -> int:
+    digits = 1
+    while count > BUCKET * 16**digits:
+        digits += 1
+    return digits
+
+
 def status(store: IndexStore, files: DataFrame, branch: str) -> str:
     found = store.manifest()
     if found is None:
@@ -237,4 +270,6 @@ def build_index(store: IndexStore, files: DataFrame, branch: str, head: str = "u
         values = {"index_state_key": state_key_of(listed, branch), "git_head": head, "indexed_at": datetime.now(timezone.utc).isoformat()}
         gone = before - old.select("path").join(live.select("path"), "path", "left_semi").count()
         store.write(kept.unionByName(fresh), values)
+    terms = common_terms(store.read(), "path", "tokens").where(F.col("n_folders") >= COMMON_FOLDERS).select("term")
+    store.put_meta("common_terms", sorted(r["term"] for r in terms.collect()))  # a seventh of a folder's terms or so
     return {"folders": total, "updated": n_updated, "unchanged": total - n_updated, "removed": gone}

@@ -148,6 +148,17 @@ def must_adjust(spark, sf_dir):
     return rows.select("vec_id", F.round(alike, 6).alias("must_dot"), adjusted.alias("adjustment"))
 
 
+@query(
+    "WITH v AS (SELECT list(embedding ORDER BY vec_id) AS m FROM embeddings WHERE vec_id IN (1, 2, 3)), "
+    "i AS (SELECT unnest(range(1, len(m[1]) + 1)) AS i, m FROM v), s AS (SELECT i, m[1][i]::DOUBLE + m[2][i]::DOUBLE + m[3][i]::DOUBLE AS x FROM i) "
+    "SELECT i - 1 AS pos, round(x / (SELECT sqrt(sum(x * x)) FROM s), 6) AS x FROM s"
+)
+def must_sum(spark, sf_dir):
+    """The state of several must texts: the normalised sum of their vectors."""
+    unit, _ = search.must_state([_vector(spark, sf_dir, k) for k in (1, 2, 3)], [[], [], []])
+    return spark.range(1).select(F.posexplode(search.array_literal(unit, "double")).alias("pos", "x")).select("pos", F.round("x", 6).alias("x"))
+
+
 @query(
     f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {_DOT.format(a='e.embedding', b='q.embedding')} AS s FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM s) "

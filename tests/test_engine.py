@@ -19,21 +19,21 @@ def write(root, path, text):
 def repo(tmp_path):
     run = lambda *a: subprocess.run(["git", *a], cwd=tmp_path, check=True, capture_output=True)
     run("init", "-q", "-b", "main"), run("config", "user.email", "a@b.c"), run("config", "user.name", "n")
-    write(tmp_path, "src/Payment/PaymentService.cs", "public class PaymentService { public void Charge() { } void Hidden() { } }")
-    write(tmp_path, "src/Payment/StripeGateway.cs", "public class StripeGateway { public void Send() { } }")
-    write(tmp_path, "src/Auth/JwtProvider.ts", "export function issueToken() { }")
-    write(tmp_path, "src/Tests/PaymentTests.cs", "class T { }")
+    write(tmp_path, "lib/Orchard/AppleHarvest.cs", "public class AppleHarvest { public void Pick() { } void Sort() { } }")
+    write(tmp_path, "lib/Orchard/CiderPress.cs", "public class CiderPress { public void Squeeze() { } }")
+    write(tmp_path, "lib/Hive/honeyFrame.ts", "export function fillComb() { }")
+    write(tmp_path, "lib/Tests/OrchardTests.cs", "class T { }")
     write(tmp_path, "top.cs", "class Top { }")
     run("add", "-A"), run("commit", "-qm", "x")
     return tmp_path
 
 
 def test_git_listing(spark, repo):
-    write(repo, "src/New.cs", "class N { }")
+    write(repo, "lib/New.cs", "class N { }")
     (repo / "top.cs").unlink()
     rows = git.working_tree(git.git_files(spark, str(repo))).collect()
-    assert {r["path"] for r in rows} == {"src/Payment/PaymentService.cs", "src/Payment/StripeGateway.cs", "src/Auth/JwtProvider.ts", "src/New.cs"}
-    assert all(r["hash"].startswith("wt:") == (r["path"] == "src/New.cs") for r in rows)
+    assert {r["path"] for r in rows} == {"lib/Orchard/AppleHarvest.cs", "lib/Orchard/CiderPress.cs", "lib/Hive/honeyFrame.ts", "lib/New.cs"}
+    assert all(r["hash"].startswith("wt:") == (r["path"] == "lib/New.cs") for r in rows)
     assert git.branch(str(repo)) == "main" and len(git.head(str(repo))) == 40
     assert git.head("/") == git.UNKNOWN
     with pytest.raises(RuntimeError):
@@ -46,36 +46,36 @@ def test_incremental_index(spark, repo):
     assert engine.index() == {"folders": 3, "updated": 3, "unchanged": 0, "removed": 0}
     assert engine.status() == index.FRESH
     before = {r["path"]: r for r in engine.store.read().collect()}
-    assert before["src/Payment"]["tokens"] == ["src", "payment", "service", "stripe", "gateway", "charge", "send"]
-    assert before["src/Payment"]["embedding_text"] == "src Payment. Files: Payment Service, Stripe Gateway. Methods: Charge, Send"
+    assert before["lib/Orchard"]["tokens"] == ["lib", "orchard", "apple", "harvest", "cider", "press", "pick", "squeeze"]
+    assert before["lib/Orchard"]["embedding_text"] == "lib Orchard. Files: Apple Harvest, Cider Press. Methods: Pick, Squeeze"
     assert "." in before
-    write(repo, "src/Auth/JwtProvider.ts", "export function issueToken() { }\nexport function revoke() { }")
+    write(repo, "lib/Hive/honeyFrame.ts", "export function fillComb() { }\nexport function smoke() { }")
     assert engine.status() == index.STALE
     assert engine.index() == {"folders": 3, "updated": 1, "unchanged": 2, "removed": 0}
     after = {r["path"]: r for r in engine.store.read().collect()}
-    assert after["src/Payment"] == before["src/Payment"] and "revoke" in after["src/Auth"]["tokens"]
+    assert after["lib/Orchard"] == before["lib/Orchard"] and "smoke" in after["lib/Hive"]["tokens"]
     assert engine.index(force=True)["updated"] == 3
     (repo / "top.cs").unlink()
     assert engine.index()["removed"] == 1 and engine.store.read().count() == 2
     subprocess.run(["git", "checkout", "-qb", "other"], cwd=repo, check=True)
     assert engine.status() == index.STALE
     assert engine.store.meta("git_head") and engine.store.meta("nothing") is None
-    best = engine.find_scope("stripe payment gateway").collect()
-    assert best[0]["path"] == "src/Payment" and len(best) == 2 and engine.status() == index.FRESH
-    assert [r["path"] for r in engine.find_scope("token", top=1, must=["jwt"]).collect()] == ["src/Auth"]
+    best = engine.find_scope("cider apple press").collect()
+    assert best[0]["path"] == "lib/Orchard" and len(best) == 2 and engine.status() == index.FRESH
+    assert [r["path"] for r in engine.find_scope("comb", top=1, must=["honey"]).collect()] == ["lib/Hive"]
     with pytest.raises(ValueError):
         engine.find_scope(" ")
 
 
 def test_commands(spark, repo):
     engine = Engine(spark, str(repo), embedder=HashEmbedder(32))
-    rows = engine.expand_folder(str(repo / "src"), "charge").collect()
-    assert [r["member_name"] for r in rows] == ["Charge"]
-    rows = engine.signatures([str(repo / "src/*/*.ts"), str(repo / "nope.cs")]).collect()
-    assert [r["member_name"] for r in rows] == ["issueToken"] and engine.notes
-    rows = engine.get_method_source(str(repo / "src/Payment/PaymentService.cs"), "Charge").collect()
-    assert rows[0]["content"] == "public void Charge() { }"
-    assert engine.suggest(str(repo / "src/Payment/PaymentService.cs"), "char") == ["Charge"]
+    rows = engine.expand_folder(str(repo / "lib"), "pick").collect()
+    assert [r["member_name"] for r in rows] == ["Pick"]
+    rows = engine.signatures([str(repo / "lib/*/*.ts"), str(repo / "nope.cs")]).collect()
+    assert [r["member_name"] for r in rows] == ["fillComb"] and engine.notes
+    rows = engine.get_method_source(str(repo / "lib/Orchard/AppleHarvest.cs"), "Pick").collect()
+    assert rows[0]["content"] == "public void Pick() { }"
+    assert engine.suggest(str(repo / "lib/Orchard/AppleHarvest.cs"), "pic") == ["Pick"]
     assert files.scan_folder(spark, str(repo), content=False).columns == ["path", "modified", "size"]
 
 
@@ -98,9 +98,43 @@ def test_store_maintenance(spark, tmp_path):
     assert new["tokens"] == ["src", "pay"] and new["filename_set"] == "A|b" and new["embedding"] is None and new["embedding_text"] == "src pay"
 
 
+def test_a_crash_in_the_swap_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    store = index.IndexStore(spark, f"file://{tmp_path}/i")
+    row = lambda p, t: (p, [t], t, [1.0], {"a": t}, "a")
+    store.ensure()
+    store.upsert(spark.createDataFrame([row("x", "1")], index.SCHEMA), {"index_state_key": "one"})
+    with monkeypatch.context() as m:
+        m.setattr(index.IndexStore, "_rename", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            store.upsert(spark.createDataFrame([row("x", "2")], index.SCHEMA), {"index_state_key": "two"})
+    again = index.IndexStore(spark, f"file://{tmp_path}/i")
+    assert again.meta("index_state_key") == "one" and [r["embedding_text"] for r in again.read().collect()] == ["1"]
+    newest = max(n for n in (p.name for p in (tmp_path / "i").iterdir()) if n.startswith("manifest-") and n.endswith(".json"))
+    (tmp_path / "i" / f"manifest-{int(newest[9:18]) + 1:09d}.json").write_text('{"cut sho')  # a manifest that is not whole
+    assert again.meta("index_state_key") == "one"
+    again.upsert(spark.createDataFrame([row("y", "3")], index.SCHEMA), {"index_state_key": "three"})
+    assert again.meta("index_state_key") == "three" and again.read().count() == 2
+
+
+def test_state_key_of_listings(spark):
+    import hashlib
+
+    def want(rows):
+        entries = sorted({f"{p}:{h}" for p, h in rows})
+        digits, buckets = index.bucket_digits(len(entries)), {}
+        for e in entries:
+            buckets.setdefault(hashlib.md5(e.encode()).hexdigest()[:digits], []).append(e)
+        parts = sorted(f"{b}:{hashlib.sha256(chr(10).join(v).encode()).hexdigest()}" for b, v in buckets.items())
+        return hashlib.sha256(chr(10).join(["main", *parts]).encode()).hexdigest()[:16].upper()
+
+    assert index.bucket_digits(10) == 1 and index.bucket_digits(10**9) == 5
+    rows = [(f"p{k % 500}", f"h{k % 700}") for k in range(900)]
+    assert index.state_key_of(spark.createDataFrame(rows, "path string, hash string"), "main") == want(rows)
+
+
 def test_ranking(spark):
     rows = spark.createDataFrame([("b", [1.0, 0.0], []), ("a", [1.0, 0.0], []), ("c", [0.0, 1.0], ["pay"]), ("d", None, ["pay"])], "path string, embedding array<double>, tokens array<string>")
-    got = search.search(rows, [1.0, 0.0], ["pay", "get"]).collect()
+    got = search.search(rows, [1.0, 0.0], ["pay", "get"], common=["get"]).collect()
     assert [(r["path"], round(r["score"], 4)) for r in got] == [("a", 1.0), ("b", 1.0), ("c", 0.3)]
     assert [r["path"] for r in search.search(rows, [1.0, 0.0], ["pay"], top=None, min_score=0.9).collect()] == ["a", "b"]
     assert search.search(rows, [1.0, 0.0], [], top=0).count() == 3
