@@ -11,8 +11,10 @@ Counts cover all labelled URLs; the model is bounded by its alphabet and order (
 numbers).  All of it is DataFrame expressions.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule and
-score 0.  Without labelled URLs of both verdicts, every url without a rule is allowed.
-Repeated rows each keep their row.
+score 0.  An empty path, as of ``http://x.org?q``, fits no rule, since a rule's path starts
+with a slash.  Without labelled URLs of both verdicts, every url without a rule is allowed.
+Repeated rows each keep their row, an empty table gives no rows, and urls of any length are
+read whole.  Columns named like those made here are replaced.
 """
 
 from __future__ import annotations

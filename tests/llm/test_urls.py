@@ -45,3 +45,12 @@ def test_models_follow_their_samples(spark):
     labelled = spark.createDataFrame(good + bad, "url string, label int")
     asked = spark.createDataFrame([(0, "http://news.site999.net/story/1"), (1, "http://win-cash777.biz/casino?bonus=5")], "page_id long, url string")
     assert [r["verdict"] for r in judge_urls(asked, [], labelled=labelled).orderBy("page_id").collect()] == ["allow", "block"]
+
+
+def test_very_long_and_empty(spark):
+    """A url of a million characters is read whole; an empty path fits no rule."""
+    long = "http://x.org/" + "a/b" * 350_000
+    df = spark.createDataFrame([(1, long), (2, "http://x.org?q"), (3, "http://y.com/fr/1"), (4, "http://y.com/de/2")], "page_id long, url string")
+    rows = {r["page_id"]: r for r in judge_urls(df.withColumn("rule", F.lit("own")), URL_RULES).collect()}
+    assert rows[1]["path"] == long[12:] and rows[1]["rule"] == "org/" and (rows[2]["path"], rows[2]["rule"]) == ("", None)
+    assert judge_urls(df.where("page_id < 0"), URL_RULES).count() == 0
