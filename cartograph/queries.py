@@ -502,7 +502,8 @@ def wordpiece(spark, sf_dir):
     return rows.select("doc_id", F.aggregate("c.attention_mask", F.lit(0).cast("long"), lambda s, x: s + x).alias("n"), F.array_join(F.col("c.input_ids").cast("array<string>"), " ").alias("ids"))
 
 
-@query()
+# A vector of the asked size and of length one; its numbers are hashes.
+@query(f"SELECT folder, 64 AS size, 1.0 AS norm FROM ({SQL['folder_texts']}) t")
 def embed_folders(spark, sf_dir):
     from .functions.embedding import HashEmbedder, embed_column
 
