@@ -12,6 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch while a table is written: they can be wide, whole texts or lists of hashes.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 512
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -38,6 +41,9 @@ class Workspace:
 
     A table that was written survives the loss of any executor, and cuts the lineage
     of what is built on it.  The folder goes when the driver's JVM ends.
+
+    Tables are written by a copy of the caller's session, with smaller Arrow batches; the
+    caller's settings stay as they are, and what is returned belongs to the caller's session.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -49,12 +55,17 @@ class Workspace:
         fs.mkdirs(root)
         fs.deleteOnExit(root)
         self.root = re.sub(r"^file:/+", "file:///", root.toString())
+        self.writer = type(spark)(spark.sparkContext, spark._jsparkSession.cloneSession())
+        rows = int(spark.conf.get(ARROW_ROWS))
+        self.writer.conf.set(ARROW_ROWS, min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it as read back."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        df.write.parquet(path)
+        plan = df._jdf.queryExecution().analyzed()
+        rows = self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.writer._jsparkSession, plan)
+        DataFrame(rows, self.writer).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._workspace_path = path
         return out
