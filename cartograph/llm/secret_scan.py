@@ -48,8 +48,8 @@ LEAST = 12.0
 FALSE_RATE = 0.001
 #: Scores of held-out runs are counted in steps of 1 / STEPS, up to FAR either way.
 STEPS, FAR = 10, 100
-#: Elements that a fold adds to one array before it begins another.
-CHUNK = 128
+#: Values of one chunk of a fold.
+CHUNK = 64
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -64,23 +64,37 @@ class SecretModel:
     found_rate: float | None = None
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is asked for."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _gather(values: Column, kind: str, turn) -> Column:
     """Fold ``values`` with ``turn(at, value) -> (at, element or null)`` from 0 to ``(at, chunks)``,
-    arrays of up to ``CHUNK`` elements: an array that grew by one element a step would be copied at each."""
-    empty = F.array().cast(kind)
-    start = F.struct(F.lit(0).alias("at"), empty.alias("now"), F.array().cast(f"array<{kind}>").alias("done"))
-
-    def step(state: Column, value: Column) -> Column:
-        at, element = turn(state["at"], value)
-        full = F.size(state["now"]) >= CHUNK
-        return F.when(element.isNull(), F.struct(at.alias("at"), state["now"].alias("now"), state["done"].alias("done"))).otherwise(
-            F.struct(
-                at.alias("at"), F.concat(F.when(full, empty).otherwise(state["now"]), F.array(element)).alias("now"),
-                F.when(full, F.concat(state["done"], F.array(state["now"]))).otherwise(state["done"]).alias("done"),
-            )
-        )
-
-    return F.aggregate(values, start, step, lambda s: F.struct(s["at"].alias("at"), F.concat(s["done"], F.array(s["now"])).alias("chunks")))
+    chunks of up to ``CHUNK`` elements.  A fold copies at each step all that it carries, so over the
+    whole array that is a number a chunk, and inside a chunk its elements."""
+
+    def cut(own: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(own) / CHUNK).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(own, k * CHUNK + 1, F.lit(CHUNK)))
+
+    def begins(chunks: Column) -> Column:
+        after = lambda at, chunk: F.aggregate(chunk, at, lambda now, value: turn(now, value)[0])
+        return F.aggregate(chunks, F.array(F.lit(0)), lambda all_at, chunk: F.concat(all_at, F.array(after(F.element_at(all_at, -1), chunk))))
+
+    def elements(chunk: Column, at: Column) -> Column:
+        def step(state: Column, value: Column) -> Column:
+            following, element = turn(state["at"], value)
+            return F.struct(following.alias("at"), F.concat(state["now"], F.array(element)).alias("now"))
+
+        found = F.aggregate(chunk, F.struct(at.alias("at"), F.array().cast(kind).alias("now")), step, lambda s: s["now"])
+        return F.filter(found, lambda e: e.isNotNull())
+
+    def folded(chunks: Column, at: Column) -> Column:
+        found = F.transform(chunks, lambda chunk, k: elements(chunk, F.get(at, k)))
+        return F.struct(F.element_at(at, -1).alias("at"), found.alias("chunks"))
+
+    return _bound(_bound(values, cut), lambda chunks: _bound(begins(chunks), lambda at: folded(chunks, at)))
 
 
 def _spans(text: Column, pattern: str, kind: int, keep, group: int = 0) -> Column:
