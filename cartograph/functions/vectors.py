@@ -20,6 +20,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), F.lit(0.0)).otherwise(F.aggregate(products, F.lit(0.0), lambda s, x: s + x))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Half away from zero, of the scaled double, as DuckDB rounds; a negative value that rounds
+    to zero stays a negative zero, which Spark's ``round`` makes positive."""
+    scaled = F.round(value * F.lit(10.0**digits)) / F.lit(10.0**digits)
+    return F.when(value < 0, -F.abs(scaled)).otherwise(scaled)
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 

@@ -71,8 +71,8 @@ def search_many(index: DataFrame, queries: DataFrame, key_col: str, query_vector
 
 
 def ranked_line(value: Column, name: Column) -> Column:
-    """Score with four decimals, a tab, the name."""
-    return F.format_string("%.4f\t%s", value.cast("double"), name)
+    """Score with four decimals, a tab, the name; null if either is."""
+    return F.when(value.isNotNull() & name.isNotNull(), F.format_string("%.4f\t%s", value.cast("double"), name))
 
 
 def ranked_lines(results: DataFrame, name_col: str = "path") -> DataFrame:

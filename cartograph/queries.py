@@ -404,7 +404,7 @@ def suggest(spark, sf_dir):
 @query(f"WITH {_Q}, s AS (SELECT vec_id, {_DOT.format(a='embedding', b='q.e')} AS s FROM embeddings, q) SELECT vec_id, printf('%.4f', round(s, 4)) || chr(9) || vec_id AS value FROM s")
 def ranked_lines(spark, sf_dir):
     dot = V.dot(F.col("embedding"), search.array_literal(_vector(spark, sf_dir), "double"))
-    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.round(dot, 4).alias("score"), F.col("vec_id").cast("string").alias("path"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", V.rounded(dot, 4).alias("score"), F.col("vec_id").cast("string").alias("path"))
     return rows.select("vec_id", search.ranked_line(F.col("score"), F.col("path")).alias("value"))
 
 
