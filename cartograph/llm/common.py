@@ -36,6 +36,20 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{folder}"
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """A copy of the caller's session with smaller Arrow batches; the caller's settings stay."""
+    out = type(spark)(spark.sparkContext, spark._jsparkSession.cloneSession())
+    rows = int(spark.conf.get(ARROW_ROWS))
+    out.conf.set(ARROW_ROWS, min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)
+    return out
+
+
+def owned_by(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df`` as a frame of the session ``spark``, by whose settings it runs."""
+    rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, df._jdf.queryExecution().analyzed())
+    return DataFrame(rows, spark)
+
+
 class Workspace:
     """Intermediate Parquet tables below the shared folder.
 
@@ -55,17 +69,13 @@ class Workspace:
         fs.mkdirs(root)
         fs.deleteOnExit(root)
         self.root = re.sub(r"^file:/+", "file:///", root.toString())
-        self.writer = type(spark)(spark.sparkContext, spark._jsparkSession.cloneSession())
-        rows = int(spark.conf.get(ARROW_ROWS))
-        self.writer.conf.set(ARROW_ROWS, min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)
+        self.writer = small_batches(spark)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it as read back."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        plan = df._jdf.queryExecution().analyzed()
-        rows = self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.writer._jsparkSession, plan)
-        DataFrame(rows, self.writer).write.parquet(path)
+        owned_by(self.writer, df).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._workspace_path = path
         return out

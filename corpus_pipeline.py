@@ -3,7 +3,9 @@ kept.
 
 Stages take and return the columns of ``documents`` (doc_id, text, lang, source, n_chars);
 the last returns what a trainer reads.  Between stages the rows are written as Parquet and
-read again, so a lost executor costs the tasks of one stage only.
+read again, so a lost executor costs the tasks of one stage only.  Stages that only run
+Python return frames of a copy of the caller's session with smaller Arrow batches: whole
+texts are in them, and a worker and its executor keep the memory that large ones took.
 
 Defined results: other columns than those are dropped at the first stage, whatever their
 names.  A null or empty text has the classifier's score for no text; of empty texts one stays
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.llm.common import Workspace
+from cartograph.llm.common import Workspace, owned_by, small_batches
 from cartograph.llm.mixing import mix_documents
 from cartograph.llm.near_dup import deduplicate
 from cartograph.llm.pieces import encode
@@ -32,7 +34,8 @@ KEEP_SCORE = 0.3
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.3 or more stay."""
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs.select(*COLUMNS), model, out_col="__score").where(F.col("__score") >= KEEP_SCORE).select(*COLUMNS)
+    scored = score_quality(docs.select(*COLUMNS), model, out_col="__score")
+    return owned_by(small_batches(spark), scored.where(F.col("__score") >= KEEP_SCORE).select(*COLUMNS))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +56,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, with the scores of its best segmentations."""
-    return encode(docs)
+    return owned_by(small_batches(spark), encode(docs))
 
 
 STAGES = [

@@ -1,6 +1,7 @@
 import corpus_pipeline as pipeline
 from pyspark.sql import functions as F
 
+from cartograph.llm.common import ARROW_ROWS, BATCH_ROWS
 from cartograph.llm.pieces import Encoder
 from cartograph.llm.vocabulary import MODEL_PATH, parse_vocabulary
 
@@ -43,3 +44,34 @@ def test_run_and_odd_rows(spark, odd, none, tmp_path):
     assert len(once) == len({r["text"] for r in once}) + 2 and all(r["doc_id"] is not None for r in once if r["text"] is not None)  # null texts are alone
     for _, stage in pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_stages_run_python_in_small_batches(spark, monkeypatch):
+    """What a stage returns is written in small batches of whole texts, whatever the caller's session has."""
+    import pyarrow as pa
+
+    sf = "/root/testdata/sf0.01"
+
+    def sized(docs, *_, out_col="ids", **__):
+        names = [*docs.columns, out_col]
+
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([float(batch.num_rows)] * batch.num_rows)], names)
+
+        return docs.mapInArrow(run, docs.withColumn(out_col, F.lit(1.0)).schema)
+
+    before = spark.conf.get(ARROW_ROWS)
+    docs = spark.range(0, 5000, numPartitions=1).selectExpr("id doc_id", "'x' text", "'en' lang", "'s' source", "1L n_chars")
+    monkeypatch.setattr(pipeline, "encode", sized)
+    found = pipeline.sentencepiece(spark, docs, sf)
+    assert found.agg(F.max("ids")).first()[0] == BATCH_ROWS and found.count() == 5000
+    monkeypatch.setattr(pipeline, "fit_quality", lambda *_: None)
+    monkeypatch.setattr(pipeline, "score_quality", sized)
+    monkeypatch.setattr(pipeline, "KEEP_SCORE", BATCH_ROWS + 1)
+    assert pipeline.quality(spark, docs, sf).count() == 0  # no batch was larger
+    monkeypatch.setattr(pipeline, "KEEP_SCORE", BATCH_ROWS)
+    kept = pipeline.quality(spark, docs, sf)
+    assert kept.count() == 5000 // BATCH_ROWS * BATCH_ROWS and kept.columns == pipeline.COLUMNS
+    assert kept.join(docs.select("doc_id"), "doc_id").count() == kept.count()  # it joins with frames of the caller
+    assert spark.conf.get(ARROW_ROWS) == before
